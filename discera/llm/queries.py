@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing
+from . import decontam, linededup, mixing, ngramjoin, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
@@ -26,8 +34,8 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_benchmark_decontamination, op9_line_dedup, op10_mixing_sources)}
+    return {f.__name__: f for f in (op5_benchmark_decontamination, op7_ngram_jaccard_join, op8_substring_dedup, op9_line_dedup, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": linededup.DIGEST_SQL, "op10_mixing_sources": mixing.DIGEST_SQL}
+    return {"op7_ngram_jaccard_join": ngramjoin.DIGEST_SQL, "op8_substring_dedup": substrings.DIGEST_SQL, "op9_line_dedup": linededup.DIGEST_SQL, "op10_mixing_sources": mixing.DIGEST_SQL}
