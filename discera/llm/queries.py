@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, ngramjoin, substrings, toxicity
+from . import decontam, linededup, mixing, ngramjoin, substrings, toxicity, urlgraph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.digest(_table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +42,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_benchmark_decontamination, op7_ngram_jaccard_join, op8_substring_dedup, op9_line_dedup, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_toxicity, op3_url_filter, op5_benchmark_decontamination, op7_ngram_jaccard_join, op8_substring_dedup, op9_line_dedup, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
