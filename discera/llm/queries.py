@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, ngramjoin, substrings, toxicity, urlgraph
+from . import decontam, langid, linededup, mixing, ngramjoin, substrings, toxicity, urlgraph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.digest(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_url_filter, op5_benchmark_decontamination, op7_ngram_jaccard_join, op8_substring_dedup, op9_line_dedup, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_toxicity, op3_url_filter, op5_benchmark_decontamination, op6_language_id, op7_ngram_jaccard_join, op8_substring_dedup, op9_line_dedup, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
