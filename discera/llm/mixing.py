@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: in
     df = df.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
     # what a unit of weight gets if all before are at their limits and none from here on
     df = df.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    level = F.min(F.when(F.col("level") <= F.col("at"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("at"), F.col("level"))).over(everything)
     df = df.withColumn("level", level)
     return df.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("at") <= F.col("level")), F.col("cap")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
@@ -88,7 +88,7 @@ level AS (
   FROM weighed),
 target AS (
   SELECT source, source_size, CASE WHEN m.l IS NULL OR lim <= m.l THEN cap ELSE w * m.l END AS target
-  FROM level, (SELECT min((total - full_before) / rest) FILTER ((total - full_before) / rest <= lim) AS l FROM level) m),
+  FROM level, (SELECT max((total - full_before) / rest) FILTER ((total - full_before) / rest <= lim) AS l FROM level) m),
 rated AS (
   SELECT sized.*, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size::DOUBLE END AS rate,
          ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / (1::BIGINT << 52) AS draw
