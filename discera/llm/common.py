@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,26 @@ def row_key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, bool]:
     return F.xxhash64(F.lit("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("\0null")), F.coalesce(F.col(text), F.lit(""))), False
 
 
+FILTER_BITS = 1 << 24
+
+
+def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key may be among keys: a superset of the semi join, before anything is shuffled. What is broadcast is a bit set of 2 MB, whatever the number of keys; with very many keys it lets more rows through. Follow it by a join."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = keys.select((at / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64({key}), 64)))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+
+    def run(batches):
+        for b in batches:
+            i = np.asarray(b.column(b.num_columns - 1))
+            b = b.filter(pa.array((bits[i >> 6] >> (i & 63) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1])
+
+    return rows.withColumn("likely_at", at).mapInArrow(run, rows.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long), in any order. Returns node, root: the smallest node reachable, for each node with an edge.
 

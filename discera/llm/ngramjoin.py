@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, row_key, saved, split_join
+from .common import components, likely_in, row_key, saved, split_join
 
 K, PERCENT = 5, 75
 SPACE = tk.Alphabet("space", fold=True)
@@ -134,7 +134,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, k: int
     shared = sample.withColumn("c", count).where("c > 1").groupBy("k").agg(F.count(F.lit(1)).alias("s"))
     left = saved(shared.join(classes.select(F.col("rep").alias("k"), "n").distinct(), "k").where(F.expr(f"s >= 1 + n * {percent} div {100 * SAMPLE}")).select("k"))
 
-    full = keyed.join(left, "k").mapInArrow(_tokens(k, None), "k long, n long, h array<long>").select("k", "n", F.explode("h").alias("h"))
+    full = likely_in(keyed, left, "k").join(left, "k").mapInArrow(_tokens(k, None), "k long, n long, h array<long>").select("k", "n", F.explode("h").alias("h"))
     ranked = full.withColumn("c", count).where("c > 1").groupBy("k", "n").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("o"))
     sets = ranked.where(F.size("o") * 100 >= F.col("n") * percent)
     hashes = F.transform("o", lambda x: x["h"])
