@@ -121,11 +121,9 @@ def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (n + m)
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """docs with nj_size and nj_component (long)."""
-    key, by_id = row_key(docs, doc_id, text)
+def roots(docs: DataFrame, key: Column, text: str = "text", *, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """nj_key, nj_size and nj_root, the smallest key reachable, for each key."""
     keyed = docs.select(key.alias("k"), F.col(text).alias("t"))
-    info = docs.select(key.alias("k"), F.col(doc_id).alias("d"))
     sizes = saved(keyed.mapInArrow(_sizes(k), "k long, n long, da long, db long"))
     classes = sizes.where("n > 0").groupBy("da", "db", "n").agg(F.min("k").alias("rep"))
 
@@ -161,13 +159,20 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, k: int
     more = _verified(pairs, sets, percent)
     final = components(stars.unionByName(more))
 
-    classed = sizes.join(classes, ["da", "db", "n"], "left").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    result = classed.select("k", "n", F.coalesce("root", "rep", "k").alias("root")).dropDuplicates(["k"]) if not by_id else classed.select("k", "n", F.coalesce("root", "rep", "k").alias("root"))
-    result = result.select(F.col("k").alias("nj_key"), F.col("n").alias("nj_size"), F.col("root").alias("nj_root"))
+    members = split_join(sizes.where("n > 0").select("da", "db", "n", "k"), classes, ["da", "db", "n"]).select("k", "n", "rep")
+    members = members.union(sizes.where("n = 0").select("k", "n", F.lit(None).cast("long"))).dropDuplicates(["k"])
+    classed = members.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    return classed.select(F.col("k").alias("nj_key"), F.col("n").alias("nj_size"), F.coalesce("root", "rep", "k").alias("nj_root"))
+
+
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs with nj_size and nj_component (long)."""
+    key, by_id = row_key(docs, doc_id, text)
+    result = roots(docs, key, text, **options)
     out = docs.withColumn("nj_row", key).join(result, F.col("nj_row") == F.col("nj_key"), "left")
     if by_id:
         return out.select(*(F.col(c) for c in docs.columns), "nj_size", F.col("nj_root").alias("nj_component"))
-    names = info.join(result, F.col("k") == F.col("nj_key")).groupBy(F.col("nj_root").alias("nj_r")).agg(F.min("d").alias("nj_component"))
+    names = docs.select(key.alias("k"), F.col(doc_id).alias("d")).join(result, F.col("k") == F.col("nj_key")).groupBy(F.col("nj_root").alias("nj_r")).agg(F.min("d").alias("nj_component"))
     return out.join(names, F.col("nj_root") == F.col("nj_r")).select(*(F.col(c) for c in docs.columns), "nj_size", "nj_component")
 
 
@@ -187,13 +192,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs, but of each component of linked documents only those with the smallest doc_id (one row of them)."""
-    df = join(docs, text, doc_id, **options)
-    keep = (F.col(doc_id) == F.col("nj_component")) | F.col("nj_component").isNull() | (F.col("nj_size") == 0)
-    kept = df.where(keep).select(docs.columns)
-    if row_key(docs, doc_id, text)[1]:
-        return kept
-    return kept.withColumn("nj_row", F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("\0"), F.coalesce(F.md5(text), F.lit(""))))).dropDuplicates(["nj_row"]).drop("nj_row")
+    """docs, but one row of each component of linked documents: that with the smallest doc_id. Documents without words stay."""
+    key, by_id = row_key(docs, doc_id, text)
+    if by_id:
+        gone = roots(docs, key, text, **options).where("nj_root <> nj_key").select("nj_key")
+        return docs.join(gone, key == F.col("nj_key"), "left_anti")
+    df = join(docs, text, doc_id, **options).withColumn("nj_row", key)
+    kept = df.where((F.col("nj_size") == 0) | F.col("nj_component").isNull() | F.col(doc_id).eqNullSafe(F.col("nj_component")))
+    first = kept.where("nj_size > 0").groupBy("nj_component").agg(F.min("nj_row").alias("nj_first")).withColumnRenamed("nj_component", "nj_c")
+    one = kept.join(first, F.col("nj_component").eqNullSafe(F.col("nj_c")), "left").where((F.col("nj_size") == 0) | (F.col("nj_row") == F.col("nj_first")))
+    return one.where("nj_size > 0").dropDuplicates(["nj_row"]).union(one.where("nj_size = 0")).select(docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
