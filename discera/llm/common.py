@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 
 
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """df.mapInArrow with batches of about BATCH_BYTES. The default of 64 MB takes, with its copies on both sides, a good part of a small executor; the setting of the session is lowered to this, never raised."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset (as in local tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,7 +75,7 @@ def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
             b = b.filter(pa.array((bits[i >> 6] >> (i & 63) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1])
 
-    return rows.withColumn("likely_at", at).mapInArrow(run, rows.schema)
+    return map_arrow(rows.withColumn("likely_at", at), run, rows.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

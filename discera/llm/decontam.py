@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .common import map_arrow
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -147,7 +148,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, item:
         more = [("dc_at", T.ArrayType(T.IntegerType())), ("dc_ids", T.ArrayType(T.StringType()))]
         if last:
             more = [("dc_words", T.LongType()), ("dc_hit", T.LongType()), ("dc_items", T.ArrayType(T.StringType()))] + [("dc_text", T.StringType())] * clean
-        df = df.mapInArrow(_scan(docs.columns.index(text), state, WindowIndex(rows, window), last, clean), _schema(docs, *more))
+        df = map_arrow(df, _scan(docs.columns.index(text), state, WindowIndex(rows, window), last, clean), _schema(docs, *more))
     return df
 
 

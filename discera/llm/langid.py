@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .common import map_arrow
 
 LETTERS = tk.Alphabet("letters", fold=True)
 CLASSES = 1 << 15
@@ -163,64 +164,79 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     return label
 
 
+def _has_letter(text: np.ndarray, ascii_letters: np.ndarray) -> bool:
+    if ascii_letters[text[:200]].any() or ascii_letters[text].any():
+        return True
+    return any(map(str.isalpha, text.tobytes().decode("utf-8", "replace")))
+
+
 def _label(text_at: int, model: Model, penalty: float, spans: bool):
     n_langs = len(model.langs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = tk.utf8(b.column(text_at))
-            n = b.num_rows
-            best, score, marks = np.full(n, -1), np.zeros(n), [[] for _ in range(n)]
-
-            def settle(held):
-                if not held:
-                    return
-                w = np.concatenate([x[0] for x in held])
-                size = np.concatenate([x[1] for x in held])
-                counts = np.concatenate([x[2] for x in held])
-                rows = np.concatenate([x[3] for x in held])
-                first = np.concatenate([[0], np.cumsum(counts)])
-                label = viterbi(w, first, penalty)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                mass = np.bincount(doc * n_langs + label, size, minlength=len(counts) * n_langs).reshape(-1, n_langs)
-                full = mass.sum(1) > 0
-                best[rows[full]] = mass[full].argmax(1)
-                score[rows[full]] = mass[full].max(1) / mass[full].sum(1)
-                if spans:
-                    cut = np.ones(len(label), bool)
-                    cut[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
-                    at = np.flatnonzero(cut)
-                    for i, m in zip(at.tolist(), np.diff(np.append(at, len(label))).tolist(), strict=True):
-                        marks[rows[doc[i]]].append({"lang": model.langs[label[i]], "word": int(i - first[doc[i]]), "words": m})
-
-            held, many = [], 0
-            for lo, hi in tk.chunks(offsets) if n_langs else ():
-                starts, ends, first = tk.words(data, offsets[lo : hi + 1], LETTERS)
-                if len(starts):
-                    held.append((model.words(data, starts, ends), ends - starts, np.diff(first), np.arange(lo, hi)))
-                    many += len(starts)
-                if many >= GROUP_WORDS:
-                    settle(held)
-                    held, many = [], 0
-            settle(held)
-            ascii_letters = np.zeros(256, bool)
-            ascii_letters[65:91] = ascii_letters[97:123] = True
-            for i in np.flatnonzero(best >= 0).tolist():
-                part = data[offsets[i] : offsets[i + 1]]
-                if not ascii_letters[part[:200]].any() and not ascii_letters[part].any() and not any(map(str.isalpha, part.tobytes().decode("utf-8", "replace"))):
-                    best[i], score[i], marks[i] = -1, 0.0, []
-            names = [model.langs[i] if i >= 0 else "und" for i in best.tolist()]
-            columns = [*b.columns, pa.array(names, pa.string()), pa.array(score)]
+    ascii_letters = np.zeros(256, bool)
+    ascii_letters[65:91] = ascii_letters[97:123] = True
+
+    def finish(held: list) -> Iterator[pa.RecordBatch]:
+        """Labels the documents of the batches held, all together, and yields the batches."""
+        parts = [x for _, scored in held for x in scored]
+        words = np.concatenate([x[0] for x in parts]) if parts else np.zeros((0, max(n_langs, 1)), np.float32)
+        size = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in parts)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in parts)])
+        first = np.concatenate([[0], np.cumsum(counts)])
+        label = viterbi(words, first, penalty)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        mass = np.bincount(doc * max(n_langs, 1) + label, size, minlength=len(counts) * max(n_langs, 1)).reshape(len(counts), -1)
+        cut = np.ones(len(label), bool)
+        cut[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(cut)
+        many, d = np.diff(np.append(at, len(label))), 0
+        edge = np.searchsorted(doc[at], np.arange(len(counts) + 1))
+        for batch, _ in held:
+            data, offsets = tk.utf8(batch.column(text_at))
+            names, score, marks = [], [], []
+            for i in range(batch.num_rows):
+                total = mass[d].sum() if n_langs else 0.0
+                if total > 0 and _has_letter(data[offsets[i] : offsets[i + 1]], ascii_letters):
+                    best = int(mass[d].argmax())
+                    names.append(model.langs[best])
+                    score.append(float(mass[d, best] / total))
+                    own = range(int(edge[d]), int(edge[d + 1])) if spans else ()
+                    marks.append([{"lang": model.langs[label[at[j]]], "word": int(at[j] - first[d]), "words": int(many[j])} for j in own])
+                else:
+                    names.append("und")
+                    score.append(0.0)
+                    marks.append([])
+                d += 1
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())]
             if spans:
                 columns.append(pa.array(marks, pa.list_(pa.struct([("lang", pa.string()), ("word", pa.int32()), ("words", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            data, offsets = tk.utf8(batch.column(text_at))
+            scored = []
+            for lo, hi in tk.chunks(offsets):
+                starts, ends, first = tk.words(data, offsets[lo : hi + 1], LETTERS)
+                if n_langs and len(starts):
+                    scored.append((model.words(data, starts, ends), ends - starts, np.diff(first)))
+                else:
+                    scored.append((np.zeros((0, max(n_langs, 1)), np.float32), np.zeros(0, np.int64), np.zeros(hi - lo, np.int64)))
+                many += len(scored[-1][0])
+            held.append((batch, scored))
+            if many >= GROUP_WORDS:
+                yield from finish(held)
+                held, many = [], 0
+        if held:
+            yield from finish(held)
+
     return run
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", *, rare: float = RARE) -> Model:
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    counts = rows.mapInArrow(_count, "lang string, c int, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
+    counts = map_arrow(rows, _count, "lang string, c int, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
     return Model(counts.toArrow(), rare)
 
 
@@ -230,7 +246,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     more = [T.StructField("li_lang", T.StringType()), T.StructField("li_score", T.DoubleType())]
     if spans:
         more.append(T.StructField("li_spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.IntegerType()), T.StructField("words", T.IntegerType())]))))
-    return docs.mapInArrow(_label(docs.columns.index(text), model, penalty, spans), T.StructType([*docs.schema.fields, *more]))
+    return map_arrow(docs, _label(docs.columns.index(text), model, penalty, spans), T.StructType([*docs.schema.fields, *more]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

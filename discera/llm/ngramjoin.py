@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, likely_in, row_key, saved, split_join
+from .common import components, likely_in, map_arrow, row_key, saved, split_join
 
 K, PERCENT = 5, 75
 SPACE = tk.Alphabet("space", fold=True)
@@ -124,15 +124,15 @@ def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 def roots(docs: DataFrame, key: Column, text: str = "text", *, k: int = K, percent: int = PERCENT) -> DataFrame:
     """nj_key, nj_size and nj_root, the smallest key reachable, for each key."""
     keyed = docs.select(key.alias("k"), F.col(text).alias("t"))
-    sizes = saved(keyed.mapInArrow(_sizes(k), "k long, n long, da long, db long"))
+    sizes = saved(map_arrow(keyed, _sizes(k), "k long, n long, da long, db long"))
     classes = sizes.where("n > 0").groupBy("da", "db", "n").agg(F.min("k").alias("rep"))
 
-    sample = keyed.mapInArrow(_tokens(k, percent), "k long, n long, h array<long>").select("k", F.explode("h").alias("h"))
+    sample = map_arrow(keyed, _tokens(k, percent), "k long, n long, h array<long>").select("k", F.explode("h").alias("h"))
     count = F.count(F.lit(1)).over(W.partitionBy("h"))
     shared = sample.withColumn("c", count).where("c > 1").groupBy("k").agg(F.count(F.lit(1)).alias("s"))
     left = saved(shared.join(classes.select(F.col("rep").alias("k"), "n").distinct(), "k").where(F.expr(f"s >= 1 + n * {percent} div {100 * SAMPLE}")).select("k"))
 
-    full = likely_in(keyed, left, "k").join(left, "k").mapInArrow(_tokens(k, None), "k long, n long, h array<long>").select("k", "n", F.explode("h").alias("h"))
+    full = map_arrow(likely_in(keyed, left, "k").join(left, "k"), _tokens(k, None), "k long, n long, h array<long>").select("k", "n", F.explode("h").alias("h"))
     ranked = full.withColumn("c", count).where("c > 1").groupBy("k", "n").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("o"))
     sets = ranked.where(F.size("o") * 100 >= F.col("n") * percent)
     hashes = F.transform("o", lambda x: x["h"])

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .common import map_arrow
 
 # fixed values: the base patterns and the least number of characters
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -186,7 +187,7 @@ def _scan(text_at: int, least: float):
 def scan(docs: DataFrame, text: str = "text", *, least: float = GUESS) -> DataFrame:
     """docs with sc_spans: array<struct<kind, start, end, value, cost>>, by start and kind."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("cost", T.DoubleType())])
-    return docs.mapInArrow(_scan(docs.columns.index(text), least), T.StructType([*docs.schema.fields, T.StructField("sc_spans", T.ArrayType(span))]))
+    return map_arrow(docs, _scan(docs.columns.index(text), least), T.StructType([*docs.schema.fields, T.StructField("sc_spans", T.ArrayType(span))]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

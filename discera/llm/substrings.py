@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import row_key, saved, split_join
+from .common import map_arrow, row_key, saved, split_join
 
 LENGTH, GRAM = 35, 12
 SPACE = tk.Alphabet("space", fold=False)
@@ -170,14 +170,14 @@ def _cut(text_at: int, spans_at: int, length: int):
 
 def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """keyed: k long, t string. Returns k and its repeated windows: spans array<struct<b, n>>, n windows from word b on."""
-    anchors = keyed.mapInArrow(_anchors(length, gram), "k long, a long, s long, b int, n int")
+    anchors = map_arrow(keyed, _anchors(length, gram), "k long, a long, s long, b int, n int")
     twice = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
     seeds = saved(split_join(anchors, twice, ["a"]))
     stretches = seeds.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "b", "n")).alias("x"))
     mixed = stretches.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a")
     edges = split_join(stretches, mixed, ["a"]).select("x.k", F.struct("x.b", "x.n", (F.col("c") == 1).alias("lone")).alias("x"))
     wanted = edges.groupBy("k").agg(F.collect_list("x").alias("xs"))
-    windows = keyed.join(wanted, "k").select("k", "t", "xs").mapInArrow(_windows(length), "k long, w long, b int, lone boolean")
+    windows = map_arrow(keyed.join(wanted, "k").select("k", "t", "xs"), _windows(length), "k long, w long, b int, lone boolean")
     again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.max("lone").alias("l")).where("c > 1 and l").select("w")
     single = split_join(windows.where("lone"), again, ["w"]).select("k", "b", F.lit(1).alias("n"))
     whole = split_join(seeds, stretches.where("c > 1").select("a", "s"), ["a", "s"]).select("k", "b", "n")
@@ -190,7 +190,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, length
     found = repeats(docs.select(key.alias("k"), F.col(text).alias("t")), length, gram).select(F.col("k").alias("sd_k"), F.col("spans").alias("sd_spans"))
     out = docs.withColumn("sd_row", key).join(found, F.col("sd_row") == F.col("sd_k"), "left").select(*(F.col(c) for c in docs.columns), "sd_spans")
     schema = T.StructType([*docs.schema.fields, T.StructField("sd_words", T.LongType()), T.StructField("sd_removed", T.LongType()), T.StructField("sd_text", T.StringType())])
-    return out.mapInArrow(_cut(docs.columns.index(text), len(docs.columns), length), schema)
+    return map_arrow(out, _cut(docs.columns.index(text), len(docs.columns), length), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

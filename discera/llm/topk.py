@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import map_arrow, saved
 
 K, SCALE, BLOCK_BYTES, TOGETHER = 5, 256, 8 << 20, 16
 Q_TILE, C_TILE = 256, 512
@@ -142,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toArrow().combine_chunks().to_batches()
         ids, queries = _vectors(part[0], scale) if part else (np.zeros(0, np.int64), np.zeros((0, 0)))
-        open_.append(rows.mapInArrow(_search(ids, queries, k, scale), _FIELDS))
+        open_.append(map_arrow(rows, _search(ids, queries, k, scale), _FIELDS))
         if len(open_) == TOGETHER and b < blocks - 1:  # blocks of queries do not pile up on the driver
             done.append(saved(_merged(_union(open_), k).select("query_id", "vec_id", "score")))
             open_ = []

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .common import map_arrow
 
 PER_CLASS = 4000
 THRESHOLD = 0.7
@@ -237,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     sample = docs.sparkSession.createDataFrame(picked, known.schema)
     rows = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "d").select("t", "y")
     size = {y: sum(r.y == y for r in picked) for y in (0, 1)}
-    mined = rows.mapInArrow(_mine, "n int, h long, t long, c long, td long, cd long").groupBy("n", "h").agg(*(F.sum(c).alias(c) for c in ("t", "c", "td", "cd")))
+    mined = map_arrow(rows, _mine, "n int, h long, t long, c long, td long, cd long").groupBy("n", "h").agg(*(F.sum(c).alias(c) for c in ("t", "c", "td", "cd")))
     least = F.greatest(F.lit(3.0), F.lit(0.005 * size[1]))
     top = mined.where((F.greatest("t", "td") >= least) & ((F.col("t") * size[0] > 20 * F.col("c") * size[1]) | (F.col("td") * size[0] > 20 * F.col("cd") * size[1])))
     found = top.orderBy(F.desc(F.col("td") * 4 + F.col("t")), "h").limit(MAX_FEATURES).collect()
@@ -250,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             m = np.concatenate(m) if m else np.zeros((0, 2 * N_PARTS + 6))
             yield pa.RecordBatch.from_arrays([tk.lists(m.ravel(), np.full(len(m), m.shape[1]), pa.float64()), b.column(1).cast(pa.int32())], ["m", "y"])
 
-    got = rows.mapInArrow(measured, "m array<double>, y int").collect()  # bounded by per_class
+    got = map_arrow(rows, measured, "m array<double>, y int").collect()  # bounded by per_class
     if size[0] and size[1]:
         m, y = np.array([r.m for r in got]), np.array([r.y for r in got])
     else:
@@ -286,7 +287,7 @@ def _scorer(text_at: int, model: Model):
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with tx_score (0 to 1)."""
     model = train(docs, labels, text, doc_id, **options)
-    return docs.mapInArrow(_scorer(docs.columns.index(text), model), T.StructType([*docs.schema.fields, T.StructField("tx_score", T.DoubleType())]))
+    return map_arrow(docs, _scorer(docs.columns.index(text), model), T.StructType([*docs.schema.fields, T.StructField("tx_score", T.DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", *, threshold: float = THRESHOLD, **options) -> DataFrame:
