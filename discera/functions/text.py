@@ -76,7 +76,7 @@ def sanitize_emotion(c: Column) -> Column:
 def split_coordination(c: Column) -> Column:
     """The entities that a coordinated text names; whole where there is no conjunction, or a preposition of the first part governs the list."""
     t = F.trim(F.coalesce(c, F.lit("")))
-    parts = F.transform(F.split(t, r"(?i)\s*(?:,|(?U:\b)y(?U:\b)|(?U:\b)e(?U:\b)|(?U:\b)o(?U:\b)|(?U:\b)u(?U:\b))\s*"), F.trim)
+    parts = F.transform(F.split(t, r"(?i)\s*(?:,|(?U:\b)y(?U:\b)|(?U:\b)e(?U:\b)|(?U:\b)o(?U:\b)|(?U:\b)u(?U:\b))\s*"), lambda p: F.trim(p))
     parts = F.filter(parts, lambda p: (F.length(p) >= 3) & ~F.lower(p).isin(ARTICLES))
     low = F.transform(parts, F.lower)
     unique = F.filter(parts, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
@@ -108,7 +108,7 @@ def is_deictic(c: Column) -> Column:
 def resolve_role(inference: Column, speaker: Column, addressees: Column) -> Column:
     """Who stands behind a role label: the speaker, or the only addressee; empty where nobody is known."""
     s = F.regexp_replace(_deictic_base(inference), r"^(?:el|la|los|las|un|una|unos|unas)\s+", "")
-    named = F.filter(F.transform(F.coalesce(addressees, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    named = F.filter(F.transform(F.coalesce(addressees, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(s.isin(*SPEAKER), F.trim(F.coalesce(speaker, F.lit("")))).when(s.isin(ADDRESSEE) & (F.size(named) == 1), F.get(named, F.lit(0))).otherwise("")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from discera.functions.text import STOPWORDS, canonical_slug, fold, invalid_canonical, is_first_person, sanitize_referent, split_coordination
 from discera.operators.graph import components
@@ -13,6 +17,12 @@ from discera.operators.graph import components
 ACCEPTED, PROPOSED, DEICTIC, REJECTED = 0, 1, 2, 3
 
 
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of matching characters of two texts, as Python's difflib has it."""
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+
 def catalog(spark: SparkSession, names: dict[str, list[str]], aliases: dict[str, str] | None = None) -> DataFrame:
     """alias, canonico: each name is its own alias, and wins over aliases of others."""
     found = {n.strip().lower(): n for n in names}
@@ -103,7 +113,7 @@ def resolve(events: DataFrame, links: DataFrame, *, one: bool = False) -> DataFr
     chosen = F.when((top == DEICTIC) & (F.size(chosen) > 1), F.array().cast("array<string>")).otherwise(chosen)
     out_of = F.transform(F.filter("c", lambda x: x["k"]["grupo"] == REJECTED), lambda x: x["canonical_id"])
     per = per.select("id", chosen.alias("__linked"), out_of.alias("__rejected"))
-    given = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("override", F.lit("")), ";"), F.trim), lambda x: x != ""))
+    given = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("override", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""))
     none = F.array().cast("array<string>")
     inferred = F.array_except(F.when(F.col("inferencia").isNull(), none).otherwise(inference_slugs(F.col("inferencia"))), F.coalesce("__rejected", none))
     all_ = F.when(F.size(given) > 0, given).when(F.size(F.coalesce("__linked", none)) > 0, F.col("__linked")).otherwise(inferred)
@@ -121,9 +131,6 @@ def merge_entities(links: DataFrame, column: str, source, target, key: list[str]
 
 def merge_suggestions(entities: DataFrame, threshold: float = 0.62, max_block: int = 60) -> DataFrame:
     """Groups of entities that may be one. entities: canonical_id, n. Scored pairs share a word; the score is the greatest of the words' Jaccard, 0.9 if one name holds the other, and the ratio of matching characters. Suggested: the most frequent, then the shortest, then the first."""
-    import difflib
-
-    import pandas as pd
     from discera.operators.joins import block_pairs
 
     words = F.filter(F.split("canonical_id", "_"), lambda w: F.length(w) > 2)
@@ -132,13 +139,9 @@ def merge_suggestions(entities: DataFrame, threshold: float = 0.62, max_block: i
     side = lambda s: tagged.select(F.col("canonical_id").alias(s), F.col("__w").alias(f"w{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
     jac = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
     held = F.when(F.contains("a", "b") | F.contains("b", "a"), 0.9).otherwise(0.0)
-    scored = both.withColumn("score", F.greatest(jac, held, ratio("a", "b"))).where(F.col("score") >= threshold)
+    scored = both.withColumn("score", F.greatest(jac, held, sequence_ratio("a", "b"))).where(F.col("score") >= threshold)
     numbered = entities.select("canonical_id", F.xxhash64("canonical_id").alias("k"))
     edges = scored.join(numbered.withColumnsRenamed({"canonical_id": "a", "k": "ka"}), "a").join(numbered.withColumnsRenamed({"canonical_id": "b", "k": "kb"}), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     groups = components(edges).join(numbered, F.col("nodo") == F.col("k")).select("canonical_id", "componente").join(entities, "canonical_id")

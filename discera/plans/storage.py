@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names (a folder of our own where it is unset, as in local tests) and read again."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new folder's path under what spark.checkpoint.dir names (a folder of our own where it is unset, as in local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="discera-"))
         folder = _own[0]
-    path = f"{folder.rstrip('/')}/d-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/d-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage is cut, and lost executors cost no more than the running stage."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
