@@ -23,8 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import saved
+
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEED = 1.5, 2, "mix-1"
+MAX_BROADCAST = 100_000
+"""Up to so many sources (one short row each) their targets are broadcast and documents stay where they are; beyond, both sides are shuffled by source, and adaptive execution splits a large one."""
 
 
 def size_of(text: Column) -> Column:
@@ -57,7 +61,9 @@ def annotate(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     sized = docs.withColumn("mx_size", size_of(F.col(text)))
     per = targets(sized.groupBy(F.col(source).alias("source")).agg(F.sum("mx_size").alias("source_size")), **options)
     per = per.select(F.col("source").alias("mx_source"), F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"))
-    joined = sized.join(per, sized[source].eqNullSafe(per["mx_source"])).drop("mx_source")
+    per = saved(per)
+    few = per.count() <= MAX_BROADCAST
+    joined = sized.join(F.broadcast(per) if few else per, sized[source].eqNullSafe(per["mx_source"])).drop("mx_source")
     rate = F.coalesce(F.try_divide(F.col("mx_target"), F.col("mx_source_size").cast("double")), F.lit(0.0))
     return joined.withColumn("mx_copies", copies_of(rate, F.col(doc_id), seed))
 
