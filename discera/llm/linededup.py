@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import split_join
+
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,7 +50,7 @@ def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min
     else:
         held = rows.distinct().groupBy("a", "b").agg(F.min("d").alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).drop("n")
     gone = (
-        rows.join(held, ["a", "b"])
+        split_join(rows, held, ["a", "b"])
         .where("d > keep")
         .groupBy("d")
         .agg(F.collect_set(F.struct("a", "b")).alias("ld_gone"))
