@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from discera.functions.text import STOPWORDS, fold_value
+
 MISSING = ("", "na", "n/a", "nan", "none", "null")
 
 
@@ -40,12 +45,9 @@ def alpha(rows: DataFrame, metric: str = "nominal") -> DataFrame:
     return grid.agg(F.when(ok, 1 - do / de).alias("alpha"))
 
 
-def _tokens(text: str | None) -> set[str]:
-    from discera.functions.text import STOPWORDS, fold_value
-
-    import re
-
-    return {t for t in re.split(r"[^a-z0-9]+", fold_value(text)) if t and t not in STOPWORDS}
+@lru_cache(maxsize=65536)
+def _tokens(text: str | None) -> frozenset[str]:
+    return frozenset(t for t in re.split(r"[^a-z0-9]+", fold_value(text)) if t and t not in STOPWORDS)
 
 
 def _overlap(a: str | None, b: str | None) -> bool:
@@ -53,31 +55,40 @@ def _overlap(a: str | None, b: str | None) -> bool:
     return bool(x and y) and len(x & y) / min(len(x), len(y)) >= 0.5
 
 
+def _align(golden: list[dict], predicted: list[dict]) -> tuple[int, ...]:
+    """tp, fp, fn, tipo_ok, exp_ok, fuente_n, fuente_ok of one unit."""
+    same = lambda x, y: bool(x) and str(x).strip().lower() == str(y or "").strip().lower()
+    options = []
+    for i, x in enumerate(golden):
+        for j, y in enumerate(predicted):
+            t, e = same(x["tipo"], y["tipo"]), _overlap(x["experienciador"], y["experienciador"])
+            if t or e:
+                s = _overlap(x["fuente"], y["fuente"])
+                options.append((-(2 * t + e + s), i, j, t, e, s))
+    left, right, pairs = set(), set(), []
+    for o in sorted(options):
+        if o[1] not in left and o[2] not in right:
+            left.add(o[1])
+            right.add(o[2])
+            pairs.append(o)
+    sourced = [o for o in pairs if str(golden[o[1]]["fuente"] or "").strip()]
+    return len(pairs), len(predicted) - len(right), len(golden) - len(left), sum(o[3] for o in pairs), sum(o[4] for o in pairs), len(sourced), sum(o[5] for o in sourced)
+
+
 def match(golden: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Greedy alignment unit by unit: 2 for the type, 1 for the experiencer, 1 for the source; a candidate needs type or experiencer; ties by golden, then predicted order. Columns of both: unidad, idx, tipo, experienciador, fuente. Returns unidad, tp, fp, fn, tipo_ok, exp_ok, fuente_n, fuente_ok for the units of golden. A unit's events are few, so a unit is one group."""
-
-    def run(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if g.empty:
-            return pd.DataFrame(columns=["unidad", "tp", "fp", "fn", "tipo_ok", "exp_ok", "fuente_n", "fuente_ok"])
-        g, p = g.sort_values("idx").reset_index(drop=True), p.sort_values("idx").reset_index(drop=True)
-        same = lambda a, b: bool(a) and str(a).strip().lower() == str(b or "").strip().lower()
-        options = []
-        for i, x in g.iterrows():
-            for j, y in p.iterrows():
-                t, e, s = same(x.tipo, y.tipo), _overlap(x.experienciador, y.experienciador), _overlap(x.fuente, y.fuente)
-                if t or e:
-                    options.append((-(2 * t + e + s), i, j, t, e, s))
-        left, right, pairs = set(), set(), []
-        for o in sorted(options):
-            if o[1] not in left and o[2] not in right:
-                left.add(o[1])
-                right.add(o[2])
-                pairs.append(o)
-        sources = [o for o in pairs if str(g.loc[o[1], "fuente"] or "").strip()]
-        row = (g.unidad.iloc[0], len(pairs), len(p) - len(right), len(g) - len(left), sum(o[3] for o in pairs), sum(o[4] for o in pairs), len(sources), sum(o[5] for o in sources))
-        return pd.DataFrame([row], columns=["unidad", "tp", "fp", "fn", "tipo_ok", "exp_ok", "fuente_n", "fuente_ok"])
-
-    return golden.groupBy("unidad").cogroup(predicted.groupBy("unidad")).applyInPandas(run, "unidad string, tp long, fp long, fn long, tipo_ok long, exp_ok long, fuente_n long, fuente_ok long")
+    """Greedy alignment unit by unit: 2 for the type, 1 for the experiencer, 1 for the source; a candidate needs type or experiencer; ties by golden, then predicted order. Columns of both: unidad, idx, tipo, experienciador, fuente. Returns unidad, tp, fp, fn, tipo_ok, exp_ok, fuente_n, fuente_ok for the units of golden. A unit's events are few, so each side is one list a unit, and many units go to Python at once."""
+    event = F.struct("idx", "tipo", "experienciador", "fuente")
+    listed = lambda df, name: df.groupBy("unidad").agg(F.array_sort(F.collect_list(event)).alias(name))
+    both = listed(golden, "g").join(listed(predicted, "p"), "unidad", "left")
+    fields = ("tp", "fp", "fn", "tipo_ok", "exp_ok", "fuente_n", "fuente_ok")
+
+    def run(batches):
+        for b in batches:
+            units, g, p = (b.column(i).to_pylist() for i in range(3))
+            rows = [_align(x, y or []) for x, y in zip(g, p, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(fields)))], ["unidad", *fields])
+
+    return both.select("unidad", "g", "p").mapInArrow(run, "unidad string, " + ", ".join(f"{f} long" for f in fields))
 
 
 def report(matched: DataFrame) -> DataFrame:
