@@ -197,11 +197,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     if by_id:
         gone = roots(docs, key, text, **options).where("nj_root <> nj_key").select("nj_key")
         return docs.join(gone, key == F.col("nj_key"), "left_anti")
-    df = join(docs, text, doc_id, **options).withColumn("nj_row", key)
-    kept = df.where((F.col("nj_size") == 0) | F.col("nj_component").isNull() | F.col(doc_id).eqNullSafe(F.col("nj_component")))
-    first = kept.where("nj_size > 0").groupBy("nj_component").agg(F.min("nj_row").alias("nj_first")).withColumnRenamed("nj_component", "nj_c")
-    one = kept.join(first, F.col("nj_component").eqNullSafe(F.col("nj_c")), "left").where((F.col("nj_size") == 0) | (F.col("nj_row") == F.col("nj_first")))
-    return one.where("nj_size > 0").dropDuplicates(["nj_row"]).union(one.where("nj_size = 0")).select(docs.columns)
+    result = roots(docs, key, text, **options)
+    named = docs.select(key.alias("nj_row"), F.col(doc_id).alias("nj_d")).join(result.where("nj_size > 0"), F.col("nj_row") == F.col("nj_key"))
+    first = F.min(F.struct(F.col("nj_d").isNull().alias("nj_null"), "nj_d", "nj_row"))  # a document without an id comes last
+    keep = named.groupBy("nj_root").agg(first.alias("nj_m")).select(F.col("nj_m.nj_row").alias("nj_key"))
+    rows = docs.withColumn("nj_row", key)
+    one = rows.join(keep, F.col("nj_row") == F.col("nj_key"), "left_semi").dropDuplicates(["nj_row"])
+    blank = rows.join(result.where("nj_size = 0").select("nj_key"), F.col("nj_row") == F.col("nj_key"), "left_semi")
+    return one.union(blank).select(docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
