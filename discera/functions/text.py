@@ -237,3 +237,28 @@ def literal_mark(mark: Column, text: Column) -> Column:
 def describe(*parts: Column) -> Column:
     """The given parts of a record in order, without the blank ones."""
     return F.concat_ws(" · ", *map(blank_to_null, parts))
+
+
+def rate_limit_wait(header: Column, now: Column) -> Column:
+    """Seconds to wait by a reset header, an epoch or an ISO time: 5 at least, 60 where it says nothing."""
+    epoch = header.try_cast("double")
+    iso = F.try_to_timestamp(header).cast("double")
+    wait = F.coalesce(epoch, iso) - now.cast("double")
+    return F.when(wait.isNull(), 60.0).otherwise(F.greatest(wait, F.lit(5.0)))
+
+
+def embedded_quote(raw: Column) -> Column:
+    """The post that a quote carries in its own JSON (texto, autor_handle, uri); its record may lie one level deeper. Null where there is none."""
+    v = F.try_parse_json(raw)
+    get = lambda p: F.try_variant_get(v, p, "string")
+    deep = F.try_variant_get(v, "$.embed.record.value", "variant").isNull()
+    at = lambda p: F.when(deep, get(f"$.embed.record.record.{p}")).otherwise(get(f"$.embed.record.{p}"))
+    text = F.trim(F.coalesce(at("value.text"), F.lit("")))
+    handle = F.regexp_replace(F.coalesce(at("author.handle"), F.lit("")), "^@+", "")
+    return F.when(text != "", F.struct(text.alias("texto"), F.when(handle != "", handle).otherwise("?").alias("autor_handle"), F.coalesce(at("uri"), F.lit("")).alias("uri")))
+
+
+def map_update(extra: Column, changes: Column) -> Column:
+    """A JSON object of texts with some keys set anew; bad JSON counts as empty."""
+    old = F.coalesce(F.from_json(extra, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(changes, k)), changes))

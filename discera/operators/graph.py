@@ -323,3 +323,28 @@ def closure(stages: dict[str, list[str]], wanted: list[str]) -> list[str]:
             need.add(s)
             stack += stages[s]
     return [s for s in topological(stages) if s in need]
+
+
+def context_satellite(posts: DataFrame, outside: DataFrame, depth: int = 5) -> DataFrame:
+    """What each post refers to, and where it was found: post_id, relacion (padre_1 .. padre_n, cita, reposteo), ref, fuente (origin, satellite) or unavailable.
+
+    posts: post_id, en_respuesta_a, cita_a, reposteo_a; outside: the same columns for posts that can be
+    fetched. Parents are followed to so many levels, through the corpus and the posts outside it.
+    """
+    columns = ("post_id", "en_respuesta_a")
+    fetched = outside.join(posts.select("post_id"), "post_id", "left_anti").select(*columns, F.lit("satellite").alias("fuente"))
+    known = posts.select(*columns, F.lit("origin").alias("fuente")).union(fetched)
+    found = known.select(F.col("post_id").alias("ref"), F.col("en_respuesta_a").alias("next"), "fuente")
+    up = posts.where(F.col("en_respuesta_a").isNotNull()).select("post_id", F.col("en_respuesta_a").alias("ref"))
+    parts = []
+    for level in range(1, depth + 1):
+        met = up.join(found, "ref", "left")
+        parts.append(met.select("post_id", F.lit(f"padre_{level}").alias("relacion"), "ref", F.coalesce("fuente", F.lit("unavailable")).alias("fuente")))
+        up = met.where(F.col("next").isNotNull()).select("post_id", F.col("next").alias("ref"))
+    for column, name in (("cita_a", "cita"), ("reposteo_a", "reposteo")):
+        refs = posts.where(F.col(column).isNotNull()).select("post_id", F.col(column).alias("ref"))
+        parts.append(refs.join(found, "ref", "left").select("post_id", F.lit(name).alias("relacion"), "ref", F.coalesce("fuente", F.lit("unavailable")).alias("fuente")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SKIP = {"script", "style", "template", "noscript"}
+SKIP = {"script", "style", "template", "noscript", "title"}
 BREAK = {"p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "footer", "header", "nav", "ul", "ol", "table"}
 
 

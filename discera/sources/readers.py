@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from discera.functions.text import blank_to_null
@@ -151,6 +152,34 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.withColumns(nested).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_csv_bom(df: DataFrame, path: str) -> None:
+    """A table as CSV that spreadsheet programs read as UTF-8: the first header begins with a byte order mark."""
+    write_csv(df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]), path)
+
+
+def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
+    """Rows as JSON lines, in order over the files' names."""
+    df.orderBy(*order).write.mode("overwrite").json(path)
+
+
+def append_files(df: DataFrame, path: str, key: str, order: str, kind: str = "json") -> int:
+    """Appends the rows whose key no file of the folder has, each once; returns their number. CSV columns may grow: readers take the union of headers."""
+    from discera.operators.state import append_dedup
+
+    spark = df.sparkSession
+    try:
+        old = spark.read.json(path) if kind == "json" else read_csv(spark, path)
+        seen = old.select(F.col(key).cast(dict(df.dtypes)[key]).alias(key)).distinct()
+    except AnalysisException:  # no folder or no file yet
+        seen = df.select(key).where("false")
+    new = append_dedup(df.where("false"), df, key, order).join(seen, key, "left_anti").select(df.columns).persist()
+    n = new.count()
+    if n:
+        (new.write.mode("append").json(path) if kind == "json" else new.write.mode("append").option("header", True).option("escape", '"').csv(path))
+    new.unpersist()
+    return n
+
+
 def export_run(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
     """Writes every table, and returns the number of rows of each."""
     for name, df in tables.items():
