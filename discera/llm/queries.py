@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": topk.DIGEST_SQL, "op7_ngram_jaccard_join": ngramjoin.DIGEST_SQL, "op8_substring_dedup": substrings.DIGEST_SQL, "op9_line_dedup": linededup.DIGEST_SQL, "op10_mixing_sources": mixing.DIGEST_SQL}
+    return {"op3_url_filter": urlgraph.DIGEST_SQL, "op4_exact_topk": topk.DIGEST_SQL, "op5_benchmark_decontamination": decontam.DIGEST_SQL, "op7_ngram_jaccard_join": ngramjoin.DIGEST_SQL, "op8_substring_dedup": substrings.DIGEST_SQL, "op9_line_dedup": linededup.DIGEST_SQL, "op10_mixing_sources": mixing.DIGEST_SQL}

@@ -109,3 +109,39 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", *, rules=RULES
 def digest(pages: DataFrame) -> DataFrame:
     df = judge(pages.select("page_id", "url", "html"))
     return df.select("page_id", F.col("uf_host").alias("host"), F.col("uf_path").alias("path"), F.col("uf_rule").alias("rule"), F.col("uf_verdict").alias("verdict"), F.round("uf_distrust", 9).alias("distrust"))
+
+
+def _rounds_sql(name: str, flow: str, seeds: str) -> str:
+    steps = [f"{name}0 AS (SELECT h, s AS r FROM {seeds})"]
+    for i in range(1, ROUNDS + 1):
+        steps.append(f"{name}{i} AS (SELECT h, sum(r) AS r FROM (SELECT f.b AS h, f.p * x.r AS r FROM {flow} f JOIN {name}{i - 1} x ON x.h = f.a UNION ALL SELECT h, s * {1 - DAMPING} FROM {seeds}) GROUP BY h)")
+    return ",\n".join(steps)
+
+
+def _rules_sql() -> str:
+    longest = sorted(RULES, key=lambda r: (-len(r[1]) - len(r[2]), r[1:]))
+    return " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{kind} {h}{p}'" for kind, h, p in longest)
+
+
+_SHARES = "SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS w FROM"
+DIGEST_SQL = f"""
+WITH u AS (SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN regexp_extract(url[position('://' IN url) + 3:], '^([^?#]*)', 1) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/]*)', 1), '{UPPER}', '{LOWER}') AS host, rest[length(regexp_extract(rest, '^([^/]*)', 1)) + 1:] AS path FROM u),
+r AS (SELECT *, CASE {_rules_sql()} END AS rule FROM p),
+l AS (SELECT host AS a, regexp_replace(translate(b, '{UPPER}', '{LOWER}'), '\\.+$', '') AS b FROM (SELECT host, unnest(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1)) AS b FROM r)),
+pairs AS (SELECT a, b, count(*)::DOUBLE AS w FROM l WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+hosts AS (SELECT host AS h, count(*) FILTER (starts_with(rule, 'allow')) AS yes, count(*) FILTER (starts_with(rule, 'block')) AS no FROM r WHERE host <> '' GROUP BY host),
+named AS (SELECT h, string_split(h, '.') AS x FROM (SELECT h FROM hosts UNION SELECT b FROM pairs)),
+nodes AS (SELECT DISTINCT array_to_string(x[i:], '.') AS h FROM (SELECT x, unnest(range(1, greatest(len(x) - 1, 1) + 1)) AS i FROM named)),
+up AS (SELECT h AS a, h[position('.' IN h) + 1:] AS b FROM nodes WHERE position('.' IN h) > 0 AND position('.' IN h[position('.' IN h) + 1:]) > 0),
+tree AS (SELECT a, b, 1.0::DOUBLE AS w FROM up UNION ALL SELECT b, a, 1.0 FROM up),
+forth AS (SELECT a, b, {DAMPING} * w / sum(w) OVER (PARTITION BY a) AS p FROM ({_SHARES} pairs UNION ALL {_SHARES} tree)),
+back AS (SELECT a, b, {DAMPING} * w / sum(w) OVER (PARTITION BY a) AS p FROM ({_SHARES} (SELECT b AS a, a AS b, w FROM pairs) UNION ALL {_SHARES} tree)),
+good AS (SELECT h, yes / sum(yes) OVER () AS s FROM hosts WHERE yes > 0),
+bad AS (SELECT h, no / sum(no) OVER () AS s FROM hosts WHERE no > 0),
+{_rounds_sql("t", "forth", "good")},
+{_rounds_sql("d", "back", "bad")},
+standing AS (SELECT h, coalesce(d.r, 0) / (coalesce(t.r, 0) + coalesce(d.r, 0)) AS distrust FROM t{ROUNDS} t FULL JOIN d{ROUNDS} d USING (h))
+SELECT page_id, host, path, split_part(rule, ' ', 2) AS rule, coalesce(split_part(rule, ' ', 1), CASE WHEN distrust >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(distrust, 9) AS distrust
+FROM r LEFT JOIN standing ON h = host
+"""
