@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from discera.operators.joins import split_join
 from discera.plans.storage import saved
 
 
@@ -53,7 +54,7 @@ def pagerank(graph: DataFrame, rounds: int = 30, damping: float = 0.85, cut: int
     """Weighted PageRank; the mass of nodes without out-edges is spread evenly."""
     graph = saved(graph)
     out = graph.groupBy("origen").agg(F.sum("peso").alias("t"))
-    flow = saved(graph.join(out, "origen").select("origen", "destino", (F.col("peso") / F.col("t")).alias("p")))
+    flow = saved(split_join(graph, out, ["origen"]).select("origen", "destino", (F.col("peso") / F.col("t")).alias("p")))
     nodes = saved(graph.select(F.col("origen").alias("nodo")).union(graph.select("destino")).distinct().join(out.select(F.col("origen").alias("nodo"), F.lit(True).alias("sale")), "nodo", "left"))
     n = nodes.count()
     if not n:
@@ -79,10 +80,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = (now["n"], now["h"])
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = split_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        e = saved(large.join(least, "u").select(star.alias("x")).select("x.u", "x.v").where("u <> v").distinct())
+        e = saved(split_join(large, least, ["u"]).select(star.alias("x")).select("x.u", "x.v").where("u <> v").distinct())
 
 
 def resolve_threads(posts: DataFrame, path: str | None = None, hops: int = 512) -> DataFrame:

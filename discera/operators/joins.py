@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def split_join(rows: DataFrame, grouped: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of rows with an aggregate by `on`. One more key column makes Spark shuffle the aggregate once more, so both sides are plain exchanges and adaptive execution can split a key with many rows."""
+    key = F.hash(*on)
+    return rows.withColumn("__sk", key).join(grouped.withColumn("__sk", key), [*on, "__sk"]).drop("__sk")
+
+
 def group_max(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """All rows with the greatest value of their group, ties included; the maxima are combined before the shuffle."""
     top = df.groupBy(*by).agg(F.max(value).alias("__top"))
-    return df.join(top, by).where(F.col(value) == F.col("__top")).drop("__top")
+    return split_join(df, top, by).where(F.col(value) == F.col("__top")).drop("__top")
 
 
 def containment(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
@@ -22,7 +28,7 @@ def block_pairs(df: DataFrame, key: str, block: str, max_block: int) -> DataFram
     """Candidate pairs a < b that share a value of the array column block; values of more than max_block keys are too common to say anything (a rule of the operator, not a cap on work)."""
     rows = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(block)).alias("t"))
     fit = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= max_block)).select("t")
-    rows = rows.join(fit, "t")
+    rows = split_join(rows, fit, ["t"])
     return rows.alias("x").join(rows.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
@@ -80,7 +86,3 @@ def reply_target(posts: DataFrame) -> DataFrame:
     """Each post with the handle of the author it answers, @ before it."""
     parent = posts.select(F.col("post_id").alias("en_respuesta_a"), F.concat(F.lit("@"), F.col("autor_handle")).alias("destinatario"))
     return posts.join(parent, "en_respuesta_a", "left")
-
-
-def per_key(df: DataFrame, key: str, agg: Column) -> DataFrame:
-    return df.groupBy(key).agg(agg)
