@@ -431,9 +431,9 @@ def set_intersect_keys(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_difference(t):
-    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select(F.col("o_custkey").alias("k")))
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")

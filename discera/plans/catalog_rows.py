@@ -61,12 +61,19 @@ _SELECTIONS = {
     "gte": ("n_chars", "500", "n_chars >= 500"),
     "lte": ("n_chars", 500, "n_chars <= 500"),
     "between": ("n_chars", [300, 900], "n_chars BETWEEN 300 AND 900"),
-    "is_null": ("lang", None, "lang IS NULL OR trim(lang) = ''"),
-    "is_not_null": ("lang", None, "lang IS NOT NULL AND trim(lang) <> ''"),
+    "is_null": ("nota", None, "doc_id % 4 < 2"),
+    "is_not_null": ("nota", None, "doc_id % 4 >= 2"),
 }
+
+
+def _noted(docs):
+    """Documents with a column that is blank for a quarter of them, and null for another."""
+    return docs.withColumn("nota", F.when(F.col("doc_id") % 4 == 0, " ").when(F.col("doc_id") % 4 > 1, F.col("lang")))
+
+
 for _op, (_field, _value, _sql) in _SELECTIONS.items():
     query(f"SELECT doc_id, source FROM documents WHERE {_sql}", f"filter_declarative_df_{_op}")(
-        lambda t, f=_field, o=_op, v=_value: fl.apply_selection(t.documents, [{"field": f, "op": o, "value": v}]).select("doc_id", "source")
+        lambda t, f=_field, o=_op, v=_value: fl.apply_selection(_noted(t.documents), [{"field": f, "op": o, "value": v}]).select("doc_id", "source")
     )
 
 
@@ -78,10 +85,18 @@ def filter_typed_compare(t):
 _JSON = {
     "eq": (7, "(props::JSON ->> 'k') = '7'"), "ne": (7, "(props::JSON ->> 'k') <> '7'"), "in": ([1, 2, 3], "(props::JSON ->> 'k') IN ('1', '2', '3')"),
     "contains": (1, "contains(props::JSON ->> 'k', '1')"), "gte": (50, "(props::JSON ->> 'k')::DOUBLE >= 50"), "lte": (10, "(props::JSON ->> 'k')::DOUBLE <= 10"),
-    "between": ([20, 30], "(props::JSON ->> 'k')::DOUBLE BETWEEN 20 AND 30"), "is_null": (None, "(props::JSON ->> 'k') IS NULL"), "is_not_null": (None, "(props::JSON ->> 'k') IS NOT NULL"),
+    "between": ([20, 30], "(props::JSON ->> 'k')::DOUBLE BETWEEN 20 AND 30"), "is_null": (None, "event_id % 3 = 0"), "is_not_null": (None, "event_id % 3 <> 0"),
 }
+
+
+def _props(op):
+    """The events' JSON; for the null checks broken or empty in a third of the rows."""
+    bad = F.when(F.col("event_id") % 2 == 0, "{bad").otherwise("{}")
+    return F.when(F.col("event_id") % 3 == 0, bad).otherwise(F.col("props")) if op.endswith("null") else F.col("props")
+
+
 for _op, (_value, _sql) in _JSON.items():
-    query(f"SELECT event_id FROM events WHERE {_sql}", f"filter_json_sql_{_op}")(lambda t, o=_op, v=_value: t.events.where(fl.json_condition(F.col("props"), "k", o, v)).select("event_id"))
+    query(f"SELECT event_id FROM events WHERE {_sql}", f"filter_json_sql_{_op}")(lambda t, o=_op, v=_value: t.events.where(fl.json_condition(_props(o), "k", o, v)).select("event_id"))
 
 
 @query(f"WITH {EVENTS} SELECT codigo, count(*) AS n FROM ev WHERE codigo IN (SELECT codigo FROM ev WHERE k >= 90) GROUP BY codigo")
@@ -312,9 +327,9 @@ def join_semi(t):
     return t.customer.join(t.orders.where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000)")
 def join_anti(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_orderstatus = 'F' and o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT user_id, event_id, value FROM events WHERE (user_id, value) IN (SELECT user_id, max(value) FROM events GROUP BY user_id)")
@@ -353,10 +368,10 @@ def join_containment(t):
     return jn.containment(a, b, ["p_brand", "p_size"], "x", "y").where("a < b").select("a", "b")
 
 
-@query("""WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), ok AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 60)
+@query("""WITH w AS (SELECT DISTINCT p_partkey, unnest([p_name || p_size, p_brand || p_size, p_type]) AS w FROM part), ok AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 60)
 SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM w a JOIN w b ON a.w = b.w AND a.p_partkey < b.p_partkey WHERE a.w IN (SELECT w FROM ok)""")
 def join_block_token(t):
-    return jn.block_pairs(t.part.withColumn("tokens", F.split(F.lower("p_name"), " ")), "p_partkey", "tokens", 60)
+    return jn.block_pairs(t.part.withColumn("tokens", F.array(F.concat("p_name", "p_size"), F.concat("p_brand", "p_size"), F.col("p_type"))), "p_partkey", "tokens", 60)
 
 
 @query("""WITH f AS (SELECT p_partkey, p_brand || '/' || p_size AS v FROM part), ok AS (SELECT v FROM f GROUP BY v HAVING count(*) BETWEEN 2 AND (SELECT greatest((count(*) * 0.25)::INT, 2) FROM part))
