@@ -24,8 +24,10 @@ but for 64-bit hashes of shingles.
    filter (an upper bound of the overlap from counts in hash classes) and are verified once.
    Pairs within a component need no check: they cannot change the result.
 
-A shingle has one row per document at most, so one shingle is never a large part of
-the rows; joins on shingles are plain equi-joins which adaptive execution splits.
+Shingles in a fiftieth of all documents or more (found by exact counts within batches, so
+that none in a twenty-fifth is missed) are shared for sure: their rows are dealt by document
+and skip the counts. Other joins on shingles are plain equi-joins which adaptive
+execution splits, or aggregates combined before the shuffle.
 
 Defined cases: null or empty text has size 0 and is a component of its own; rows that
 repeat a doc_id are documents of their own, and a null doc_id never becomes a component
@@ -79,24 +81,40 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
 
 
+def _frequent(grams: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in HOT of a batch's documents (two at least), and their counts."""
+    least = max(2, int(np.ceil(HOT * docs)))
+    at = (grams & np.uint64(0xFFFFF)).astype(np.int64)
+    some = grams[np.bincount(at, minlength=1 << 20)[at] >= least]
+    values, counts = np.unique(some, return_counts=True)
+    return values[counts >= least], counts[counts >= least]
+
+
 def _sizes(k: int):
+    """A row for each document; and rows without a key, whose da is a frequent shingle and n its count in a batch."""
+
     def run(batches):
         for b in batches:
-            n, da, db = [], [], []
+            n, da, db, every = [], [], [], []
             for grams, counts in _sets(b.column(1), k):
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 for out, salt in ((da, 0x9E3779B97F4A7C15), (db, 0xD1B54A32D192ED03)):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(grams * np.uint64(salt)), dtype=np.uint64)])
                     out.append(tk.signed(tk.mix(total[edge[1:]] - total[edge[:-1]] + counts.astype(np.uint64))))
                 n.append(counts)
+                every.append(grams)
             join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(join(n), pa.int64()), pa.array(join(da)), pa.array(join(db))], ["k", "n", "da", "db"])
+            hot, times = _frequent(np.concatenate([np.zeros(0, np.uint64), *every]), b.num_rows)
+            if len(hot):
+                nothing = pa.nulls(len(hot), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, pa.array(times, pa.int64()), pa.array(tk.signed(hot)), nothing], ["k", "n", "da", "db"])
 
     return run
 
 
-def _tokens(k: int, percent: int | None):
-    """The first shingles of each set in hash order (all where percent is None)."""
+def _tokens(k: int, percent: int | None, hot: np.ndarray):
+    """The first shingles of each set in hash order (all where percent is None). The lowest bit marks hot ones."""
 
     def run(batches):
         for b in batches:
@@ -106,12 +124,17 @@ def _tokens(k: int, percent: int | None):
                 edge = np.concatenate([[0], np.cumsum(n)])
                 rank = np.arange(len(grams)) - np.repeat(edge[:-1], n)
                 kept = grams[rank < np.repeat(take, n)]
+                i = np.minimum(np.searchsorted(hot, kept), max(len(hot) - 1, 0))
+                mark = hot[i] == kept if len(hot) else np.zeros(len(kept), bool)
+                kept = kept & ~np.uint64(1) | mark.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n, pa.int64()), tk.lists(tk.signed(kept), take, pa.int64())], ["k", "n", "h"])
                 at += len(n)
 
     return run
 
 
+HOT = 0.02
+"""Shingles in so many of all documents go round the count: they are known to be shared."""
 SAMPLE = 25
 """The first filter looks at n // SAMPLE shingles more, and asks for as many more shared ones."""
 
@@ -124,15 +147,21 @@ def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 def roots(docs: DataFrame, key: Column, text: str = "text", *, k: int = K, percent: int = PERCENT) -> DataFrame:
     """nj_key, nj_size and nj_root, the smallest key reachable, for each key."""
     keyed = docs.select(key.alias("k"), F.col(text).alias("t"))
-    sizes = saved(map_arrow(keyed, _sizes(k), "k long, n long, da long, db long"))
+    counted = saved(map_arrow(keyed, _sizes(k), "k long, n long, da long, db long"))
+    sizes = counted.where("k is not null")
+    least = max(2, int(HOT * sizes.count()))
+    often = counted.where("k is null").groupBy("da").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    hot = np.unique(np.asarray(often.select("da").toArrow().column("da")).astype(np.int64).view(np.uint64))  # at most 1 / HOT times the mean size of a set
     classes = sizes.where("n > 0").groupBy("da", "db", "n").agg(F.min("k").alias("rep"))
 
-    sample = map_arrow(keyed, _tokens(k, percent), "k long, n long, h array<long>").select("k", F.explode("h").alias("h"))
-    count = F.count(F.lit(1)).over(W.partitionBy("h"))
+    sample = map_arrow(keyed, _tokens(k, percent, hot), "k long, n long, h array<long>").select("k", F.explode("h").alias("h"))
+    is_hot = F.col("h").bitwiseAND(1) == 1
+    apart = F.when(is_hot, F.col("k")).otherwise(F.lit(0))  # rows of a hot shingle need not meet
+    count = F.when(is_hot, F.lit(1 << 40)).otherwise(F.count(F.lit(1)).over(W.partitionBy("h", apart)))
     shared = sample.withColumn("c", count).where("c > 1").groupBy("k").agg(F.count(F.lit(1)).alias("s"))
     left = saved(shared.join(classes.select(F.col("rep").alias("k"), "n").distinct(), "k").where(F.expr(f"s >= 1 + n * {percent} div {100 * SAMPLE}")).select("k"))
 
-    full = map_arrow(likely_in(keyed, left, "k").join(left, "k"), _tokens(k, None), "k long, n long, h array<long>").select("k", "n", F.explode("h").alias("h"))
+    full = map_arrow(likely_in(keyed, left, "k").join(left, "k"), _tokens(k, None, hot), "k long, n long, h array<long>").select("k", "n", F.explode("h").alias("h"))
     ranked = full.withColumn("c", count).where("c > 1").groupBy("k", "n").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("o"))
     sets = ranked.where(F.size("o") * 100 >= F.col("n") * percent)
     hashes = F.transform("o", lambda x: x["h"])
