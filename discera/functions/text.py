@@ -26,6 +26,22 @@ EDGES = " \t\r\n\"'“”‘’.,;:!¡¿?«»-–—_*"
 ARTICLES = "el la los las un una unos unas lo su sus".split()
 MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 SLUG_CHARS = 64
+# fixed values: slugs that are a pronoun, beginnings that name a role, and what stands for an unknown referent
+PRONOUNS = "yo vos ustedes vosotros".split()
+ROLE_BEGINNINGS = "nosotros nosotras nuestro nuestra enunciador enunciadora enunciante enunciatario enunciataria enunciatarios enunciatarias auditorio destinatario destinatarios".split()
+ROLE_LABELS = "enunciador enunciatario actor auditorio destinatario prodestinatario paradestinatario contradestinatario".split()
+UNKNOWN = ("", "no identificado", "no_identificado", "no identificada", "no se identifica", "no_se_identifica", "ninguno", "ninguna", "?", "desconocido", "desconocida")
+# fixed values: patterns that part or govern labels: alternatives, enumerations, periphrases, conjunctions, prepositions, possessives
+ALTERNATIVES = r"\s*(?:/|\||\sy/o\s|\so\s)\s*"
+ENUMERATION = r"\s*[,;:]\s*"
+PERIPHRASIS = r"(?i)^(?:sentirse|sentir|estar|sentimiento\s+de|emoci[oó]n\s+de)\s+"
+CONJUNCTION = r"(?iU)\b(?:y|e|o|u)\b"
+COORDINATION = r"(?iU)\s*(?:,|\by\b|\be\b|\bo\b|\bu\b)\s*"
+GOVERNING = r"(?iU)\b(?:entre|con|contra|junto a|frente a)\s+\S"
+POSSESSIVE = r"(?is)^(?:su|sus)\s+(.+)$"
+DETERMINERS = "el|la|los|las|un|una|unos|unas"
+SPANISH_DATE = r"(\d{1,2})\s+de\s+([a-z]+)[\s,]+(?:de\s+)?(\d{4})"
+EUROPEAN_DATE = r"(\d{1,2})[-/](\d{1,2})[-/]\d{4}"
 
 
 def fold_value(text: str | None) -> str:
@@ -63,32 +79,33 @@ def _squeeze(c: Column) -> Column:
 
 def sanitize_referent(c: Column) -> Column:
     """The first alternative of a referent label, without the signs at its edges."""
-    return _squeeze(F.btrim(_first(c, r"\s*(?:/|\||\sy/o\s|\so\s)\s*"), F.lit(EDGES)))
+    return _squeeze(F.btrim(_first(c, ALTERNATIVES), F.lit(EDGES)))
 
 
 def sanitize_emotion(c: Column) -> Column:
     """One emotion's name: the first alternative of the first item, without a periphrasis."""
-    one = F.btrim(_first(_first(c, r"\s*(?:/|\||\sy/o\s|\so\s)\s*"), r"\s*[,;:]\s*"), F.lit(EDGES))
-    bare = F.regexp_replace(one, r"(?i)^(?:sentirse|sentir|estar|sentimiento\s+de|emoci[oó]n\s+de)\s+", "")
+    one = F.btrim(_first(_first(c, ALTERNATIVES), ENUMERATION), F.lit(EDGES))
+    bare = F.regexp_replace(one, PERIPHRASIS, "")
     return _squeeze(F.btrim(bare, F.lit(EDGES)))
 
 
 def split_coordination(c: Column) -> Column:
     """The entities that a coordinated text names; whole where there is no conjunction, or a preposition of the first part governs the list."""
     t = F.trim(F.coalesce(c, F.lit("")))
-    parts = F.transform(F.split(t, r"(?i)\s*(?:,|(?U:\b)y(?U:\b)|(?U:\b)e(?U:\b)|(?U:\b)o(?U:\b)|(?U:\b)u(?U:\b))\s*"), lambda p: F.trim(p))
+    parts = F.transform(F.split(t, COORDINATION), lambda p: F.trim(p))
     parts = F.filter(parts, lambda p: (F.length(p) >= 3) & ~F.lower(p).isin(ARTICLES))
     low = F.transform(parts, F.lower)
     unique = F.filter(parts, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
-    governed = F.coalesce(F.get(parts, F.lit(0)), F.lit("")).rlike(r"(?iU)\b(?:entre|con|contra|junto a|frente a)\s+\S")
-    plain = ~t.rlike(r"(?iU)\b(?:y|e|o|u)\b") | governed | (F.size(unique) < 2)
+    governed = F.coalesce(F.get(parts, F.lit(0)), F.lit("")).rlike(GOVERNING)
+    plain = ~t.rlike(CONJUNCTION) | governed | (F.size(unique) < 2)
     return F.when(t == "", F.array().cast("array<string>")).when(plain, F.array(t)).otherwise(unique)
 
 
 def resolve_possessive(parts: Column) -> Column:
     """su X, in a later part, is X de the first part."""
-    first = F.get(parts, F.lit(0))
-    return F.transform(parts, lambda p, i: F.when((i > 0) & F.lower(p).rlike(r"^sus?\s+\S"), F.concat(F.regexp_replace(p, r"(?i)^sus?\s+", ""), F.lit(" de "), first)).otherwise(p))
+    first = F.trim(F.get(parts, F.lit(0)))
+    own = lambda p: F.regexp_extract(F.trim(p), POSSESSIVE, 1)
+    return F.transform(parts, lambda p, i: F.when((i > 0) & (own(p) != "") & (first != ""), F.concat(F.trim(own(p)), F.lit(" de "), first)).otherwise(p))
 
 
 def _deictic_base(c: Column) -> Column:
@@ -107,19 +124,23 @@ def is_deictic(c: Column) -> Column:
 
 def resolve_role(inference: Column, speaker: Column, addressees: Column) -> Column:
     """Who stands behind a role label: the speaker, or the only addressee; empty where nobody is known."""
-    s = F.regexp_replace(_deictic_base(inference), r"^(?:el|la|los|las|un|una|unos|unas)\s+", "")
+    s = F.regexp_replace(_deictic_base(inference), rf"^(?:{DETERMINERS})\s+", "")
     named = F.filter(F.transform(F.coalesce(addressees, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(s.isin(*SPEAKER), F.trim(F.coalesce(speaker, F.lit("")))).when(s.isin(ADDRESSEE) & (F.size(named) == 1), F.get(named, F.lit(0))).otherwise("")
 
 
 def invalid_canonical(c: Column) -> Column:
     """A slug that cannot name one entity: a pronoun, a role, or two entities."""
-    roles = "nosotros|nosotras|enunciador|enunciadora|enunciatario|enunciataria|enunciatarios|enunciatarias"
-    return F.coalesce(c, F.lit("")).rlike(rf"^(yo|vos|ustedes|vosotros)$|^({roles})(_|$)|_[ye]_")
+    return F.coalesce(c, F.lit("")).rlike(rf"^({'|'.join(PRONOUNS)})$|^({'|'.join(ROLE_BEGINNINGS)})(_|$)|_[ye]_")
+
+
+def is_unknown(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(*UNKNOWN)
 
 
 def is_role_label(c: Column) -> Column:
-    return F.regexp_replace(slug(c), "^(el|la|los|las)_", "").rlike("^(enunciador|enunciatari|auditorio|destinatari)")
+    """A label that names a position in the analysis and no referent."""
+    return F.regexp_replace(slug(c), "^((el|la|los|las|un|una)(_|$))+", "").rlike(rf"^({'|'.join(ROLE_LABELS)})(_|$)")
 
 
 def clean_whitespace(c: Column) -> Column:
@@ -189,9 +210,10 @@ def classify_reference(a: Column, b: Column, canonical_a: Column | None = None,
     """How two references compare: identico, mismo_canonico, solapamiento_parcial, distinto, valor_ausente."""
     x, y = slug(a), slug(b)
     words = lambda s: F.filter(F.split(s, "_"), lambda w: (w != "") & ~w.isin(STOPWORDS))
-    same = (canonical_a == canonical_b) if canonical_a is not None else F.lit(False)
+    name = lambda label, given: F.coalesce(F.nullif(canonical_slug(given), F.lit("")), canonical_slug(label)) if given is not None else canonical_slug(label)
+    p, q = name(a, canonical_a), name(b, canonical_b)
     return (
-        F.when((x == "") | (y == ""), "valor_ausente").when(x == y, "identico").when(F.coalesce(same, F.lit(False)), "mismo_canonico")
+        F.when((x == "") | (y == ""), "valor_ausente").when(x == y, "identico").when((p != "") & (p == q), "mismo_canonico")
         .when(F.arrays_overlap(words(x), words(y)), "solapamiento_parcial").otherwise("distinto")
     )
 
@@ -200,11 +222,10 @@ def normalize_date(c: Column) -> Column:
     """ISO, day/month/year or Spanish words as an ISO date; empty where it is none."""
     t = F.trim(F.coalesce(c, F.lit("")))
     iso = F.try_to_date(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
-    dmy = F.regexp_extract(t, r"(\d{1,2})[-/](\d{1,2})[-/]\d{4}", 0)
+    dmy = F.regexp_extract(t, EUROPEAN_DATE, 0)
     numbers = F.split(dmy, "[-/]")
     european = F.try_to_date(F.when(dmy != "", F.concat_ws("-", F.get(numbers, F.lit(2)), F.lpad(F.get(numbers, F.lit(1)), 2, "0"), F.lpad(F.get(numbers, F.lit(0)), 2, "0"))), "yyyy-MM-dd")
-    pattern = r"(\d{1,2})\s+de\s+([a-z]+)[\s,]+(?:de\s+)?(\d{4})"
-    low = fold(t)
+    pattern, low = SPANISH_DATE, fold(t)
     name = F.when(F.regexp_extract(low, pattern, 2) == "setiembre", "septiembre").otherwise(F.regexp_extract(low, pattern, 2))
     month = F.array_position(F.array(*map(F.lit, MONTHS)), name)
     spanish = F.try_to_date(F.when(month > 0, F.concat_ws("-", F.regexp_extract(low, pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(low, pattern, 1), 2, "0"))), "yyyy-MM-dd")

@@ -10,11 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from discera.functions.text import STOPWORDS, canonical_slug, fold, invalid_canonical, is_first_person, sanitize_referent, split_coordination
+from discera.functions.text import STOPWORDS, canonical_slug, fold, invalid_canonical, is_first_person, is_unknown, sanitize_referent, split_coordination
 from discera.operators.graph import components
 
 # fixed values: ranks of a link's provenance; a smaller one wins, and rejected links never resolve
-ACCEPTED, PROPOSED, DEICTIC, REJECTED = 0, 1, 2, 3
+INFERRED, DEICTIC, REJECTED = 0, 1, 2
+# fixed values: order of links within a group, by status and then by origin
+STATUS_ORDER = ("accepted", "proposed")
+ORIGIN_ORDER = ("human", "technoparse", "llm", "coref", "auto", "deixis_llm", "deixis")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -47,7 +50,7 @@ def mentions(rows: DataFrame) -> DataFrame:
     pairs = F.when(even, F.arrays_zip(marks.alias("m"), parts.alias("i"))).otherwise(F.array(F.struct(F.trim("marca").alias("m"), F.trim(F.coalesce("inferencia", F.lit(""))).alias("i"))))
     each = rows.select("codigo", "unit_idx", "orden", "funcion", F.posexplode(pairs).alias("parte", "p")).select("codigo", "unit_idx", "orden", "parte", "funcion", F.col("p.m").alias("marca"), F.col("p.i").alias("inferencia")).where("marca <> ''")
     at = F.struct("orden", "parte")
-    known = F.when(F.lower(F.trim("inferencia")).isin("", "no identificado", "no se identifica"), None).otherwise(F.col("inferencia"))
+    known = F.when(~is_unknown(F.col("inferencia")), F.col("inferencia"))
     return each.groupBy("codigo", "unit_idx", F.lower("marca").alias("clave")).agg(
         F.min_by("marca", at).alias("marca"),
         F.max_by(known, F.when(known.isNotNull(), at)).alias("inferencia"),
@@ -82,18 +85,25 @@ def deixis_links(mention: DataFrame, speakers: DataFrame) -> DataFrame:
     return mention.where(is_first_person(F.col("marca"))).join(speakers.where("trim(coalesce(enunciador, '')) <> ''"), "codigo").select("id", canonical_slug(F.col("enunciador")).alias("canonical_id"), F.lit("proposed").alias("status"), F.lit("deixis").alias("origen"))
 
 
+def link_rank(links: DataFrame) -> DataFrame:
+    """Links (status, origin) with their grupo and orden."""
+    at = lambda c, order: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(c)), F.lit(0)) - 1, F.lit(9))
+    group = F.when(F.col("status") == "rejected", REJECTED).when(F.col("origin").isin("deixis_llm", "deixis"), DEICTIC).otherwise(INFERRED)
+    return links.withColumn("grupo", F.coalesce(group, F.lit(INFERRED))).withColumn("orden", (at("status", STATUS_ORDER) * 10 + at("origin", ORIGIN_ORDER)).cast("int"))
+
+
 def inference_slugs(c: Column) -> Column:
     """The canonical slugs of an inference, one for each entity it names, without invalid ones."""
     text = sanitize_referent(c)
     slugs = F.array_distinct(F.filter(F.transform(split_coordination(text), canonical_slug), lambda s: (s != "") & ~invalid_canonical(s)))
-    return F.when(F.lower(text).isin("", "no identificado", "no se identifica"), F.array().cast("array<string>")).otherwise(slugs)
+    return F.when(is_unknown(text), F.array().cast("array<string>")).otherwise(slugs)
 
 
 def resolve(events: DataFrame, links: DataFrame, *, one: bool = False) -> DataFrame:
     """The canonical entities of each event's mark.
 
     events: id, codigo, unit_idx, marca, override, inferencia; links: codigo, unit_idx, marca,
-    canonical_id, grupo (0 accepted, 1 proposed, 2 deictic, 3 rejected), orden. What the event was given
+    canonical_id, grupo (0 inferred, 1 deictic, 2 rejected), orden (see link_rank). What the event was given
     itself (override, parted by ;) comes first; then the links of its mark, exact or else by containment either
     way, of the best group only; deictic links count only if there is a single one; then the slugs of the
     inference without rejected ones. Within a group: by orden, place in the mark, and the longer mark.

@@ -244,13 +244,13 @@ def _resolved(t, one):
     """One event for each case of precedence, by its number modulo 8."""
     c = F.col("event_id") % 8
     events = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("codigo"), c.alias("unit_idx"), F.when(c == 7, "libertarios y radicales").otherwise("el grupo").alias("marca"), F.when(c == 0, "fijo; otro").alias("override"), F.when(c == 5, "los radicales").when(c == 6, "el rechazado").alias("inferencia"))
-    rows = [(1, "el grupo", "b", 1, 0), (1, "el grupo", "a", 0, 0), (2, "el grupo", "d1", 2, 0), (2, "el grupo", "d2", 2, 1), (3, "el grupo", "d1", 2, 0), (4, "grupo", "sub", 1, 0), (6, "el grupo", "rechazado", 3, 0), (7, "radicales", "radicales", 1, 0), (7, "libertarios", "libertarios", 1, 0)]
-    links = t.spark.createDataFrame(rows, "unit_idx long, marca string, canonical_id string, grupo int, orden int")
-    links = t.events.select(F.col("user_id").alias("codigo")).distinct().crossJoin(F.broadcast(links))  # nine rows
+    rows = [(1, "el grupo", "b", "proposed", "llm"), (1, "el grupo", "a", "accepted", "llm"), (1, "el grupo", "d", "accepted", "deixis"), (2, "el grupo", "d1", "proposed", "deixis"), (2, "el grupo", "d2", "accepted", "deixis_llm"), (3, "el grupo", "d1", "proposed", "deixis"), (4, "grupo", "sub", "proposed", "llm"), (6, "el grupo", "rechazado", "rejected", "llm"), (7, "radicales", "radicales", "proposed", "llm"), (7, "libertarios", "libertarios", "proposed", "llm")]
+    links = rs.link_rank(t.spark.createDataFrame(rows, "unit_idx long, marca string, canonical_id string, status string, origin string"))
+    links = t.events.select(F.col("user_id").alias("codigo")).distinct().crossJoin(F.broadcast(links))  # ten rows
     return rs.resolve(events, links, one=one)
 
 
-@query("SELECT event_id AS id, (['fijo|otro', 'a', '', 'd1', 'sub', 'radicales', '', 'libertarios|radicales'])[(event_id % 8 + 1)::INT] AS canonicos FROM events")
+@query("SELECT event_id AS id, (['fijo|otro', 'a|b', '', 'd1', 'sub', 'radicales', '', 'libertarios|radicales'])[(event_id % 8 + 1)::INT] AS canonicos FROM events")
 def er_resolve_many(t):
     return _resolved(t, False).select("id", F.array_join("canonicos", "|").alias("canonicos"))
 

@@ -35,7 +35,7 @@ _expected("fn_is_deictic", [False, False, False, False, False, False, False, Fal
 _expected("fn_is_first_person", [False, False, False, False, False, False, False, False, False, True, False, False, False, False], fx.is_first_person, "BOOLEAN")
 _expected("fn_resolve_role", ["", "", "", "", "", "", "", "", "", "", "", "Ana Paz", "el pueblo", ""], lambda c: fx.resolve_role(c, F.lit("Ana Paz"), F.array(F.lit("el pueblo"))))
 _expected("fn_invalid_canonical", [False, False, False, False, False, True, False, True, True, True, False, False, False, False], lambda c: fx.invalid_canonical(fx.slug(c)), "BOOLEAN")
-_expected("fn_is_role_label", [False] * 11 + [True, True, False], fx.is_role_label, "BOOLEAN")
+_expected("fn_is_role_label", [False] * 11 + [True, False, False], fx.is_role_label, "BOOLEAN")
 _expected("fn_resolve_possessive", ["Carlitos", "círculo cercano de Carlitos"] * 7, lambda c: F.get(fx.resolve_possessive(F.array(F.lit("Carlitos"), F.lit("su círculo cercano"))), (F.col("event_id") % 2).cast("int")))
 _expected("fn_classify_reference", ["identico", "solapamiento_parcial", "distinto", "valor_ausente", "mismo_canonico", "identico", "solapamiento_parcial", "distinto", "valor_ausente", "mismo_canonico", "identico", "solapamiento_parcial", "distinto", "valor_ausente"], lambda c: F.element_at(F.array(
     fx.classify_reference(F.lit("Javier Milei"), F.lit("javier milei")), fx.classify_reference(F.lit("Javier Milei"), F.lit("Milei")), fx.classify_reference(F.lit("Javier Milei"), F.lit("la oposición")),
