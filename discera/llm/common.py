@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 BATCH_BYTES = 4 << 20
@@ -39,10 +40,20 @@ def saved(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: lost executors cost no more than the running stage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that operators of this session have written to the shared folder, and returns their number. For when all results that rest on them have been written."""
+    context, n = spark.sparkContext, 0
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def split_join(rows: DataFrame, grouped: DataFrame, on: list[str]) -> DataFrame:
     """Inner join of rows with an aggregate by `on`. One more key column makes Spark shuffle the aggregate once more, so both sides are plain exchanges and adaptive execution can split a key that holds many rows."""
     key = F.hash(*on)

@@ -1,5 +1,7 @@
 """Operators that compare documents: lines, near copies, repeats, mixing, links of hosts, vectors, and the pipeline."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
@@ -119,6 +121,13 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_saved_tables_are_forgotten(spark):
+    df = common.saved(spark.range(10))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 10 and os.path.exists(path)
+    assert common.forget(spark) >= 1 and not os.path.exists(path) and common.forget(spark) == 0
+
+
 def _repeat_docs(seed):
     r = cases.rng(seed)
     passages = [[f"p{j}_{r.randrange(40)}" for _ in range(r.choice((34, 35, 36, 50, 90)))] for j in range(6)]
