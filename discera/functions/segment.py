@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 ABBREVIATIONS = set("sr sra srta dr dra ing lic prof av avda calle ej etc vs p pp no".split())
 _END = re.compile(r"(?P<close>[.!?]+[\")\]]?)\s+(?=[A-ZÁÉÍÓÚÑÜ¡¿])")
 
+_WORD_BEFORE = re.compile(r"\S+\Z")
+
 
 def paragraphs(c: Column, least: int = 30) -> Column:
     """Texts between blank lines of at least so many characters; the first one if none is that long."""
@@ -29,9 +31,8 @@ def document(c: Column) -> Column:
 def _ends(text: str) -> list[str]:
     out, at = [], 0
     for m in _END.finditer(text):
-        words = text[: m.start()].split()
-        last = words[-1] if words and not text[: m.start()][-1:].isspace() else ""
-        if last.lower() not in ABBREVIATIONS:
+        last = _WORD_BEFORE.search(text, max(0, m.start() - 40), m.start())
+        if not last or last[0].lower() not in ABBREVIATIONS:
             out.append(text[at : m.end("close")].strip())
             at = m.end()
     return [s for s in [*out, text[at:].strip()] if s]

@@ -25,6 +25,12 @@ PUNCTUATION = re.compile(r"[!?]*[!?]{2,}[!?]*|\.{3,}|…+")
 CAPITALS = re.compile(r"\b[A-ZÁÉÍÓÚÜÑ]{2,}\b")
 WORD = re.compile(r"\b[^\W\d_]{2,}\b")
 GAP = 24
+LINK_HINT = re.compile(r"https?://|www\.|\w\.\w", re.I)
+THRICE = re.compile(r"(\w)\1\1")
+OPENING = re.compile(rf"(?:@{HANDLE}[\s,]*)+")
+TAIL = re.compile(rf"(?:#\w+|(?:{URL.pattern})|[\s.,;:!?…]+|{EMOJI.pattern})\Z", re.I)
+TAIL_CHARS = 2048
+"""A tag, link or run of signs at a text's end is looked for in its last characters, block by block."""
 LINK_LIKE = re.compile(r"[\w\-/?=&%]+\.[A-Za-z]{2,}[\w\-/?=&%.]*\Z")
 
 KIND = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("inicio", "fin") else T.StringType()) for n in ("tipo", "valor", "norm", "inicio", "fin", "extra")]))
@@ -51,8 +57,7 @@ def domain_of(url: str) -> str:
 
 def _tail(text: str) -> int:
     """Where the closing block of hashtags, links, emojis and signs begins."""
-    block = re.compile(rf"(?:#\w+|(?:{URL.pattern})|[\s.,;:!?…]+|{EMOJI.pattern})\Z", re.I)
-    while m := block.search(text):
+    while m := TAIL.search(text, max(0, len(text) - TAIL_CHARS)):
         if m.start() == m.end():
             break
         text = text[: m.start()]
@@ -97,15 +102,16 @@ def find_spans(text: str | None) -> list[tuple]:
     text = text or ""
     marks = _Marks(text)
     links = []
-    for m in URL.finditer(text):
+    for m in URL.finditer(text) if LINK_HINT.search(text) else ():
         url = m[0].rstrip(URL_TAIL)
         marks.found.append(("url", url, domain_of(url), m.start(), m.start() + len(url), ""))
         links.append(m.span())
     marks.taken = list(links)
-    end, start = _tail(text), re.match(rf"(?:@{HANDLE}[\s,]*)+", text)
+    start = OPENING.match(text)
     opening = start.end() if start else 0
     tags = [m for m in HASHTAG.finditer(text) if marks.free(*m.span())]
     names = [m for m in MENTION.finditer(text) if marks.free(*m.span())]
+    end = _tail(text) if tags else len(text)
     for m in tags:
         marks.add("hashtag", *m.span(), m[1].lower(), "pospuesta" if m.start() >= end else "integrada")
     for m in names:
@@ -117,7 +123,7 @@ def find_spans(text: str | None) -> list[tuple]:
         if len(m[0]) >= 4 and marks.free(*m.span()):
             marks.add("tecnografismo", *m.span(), "risa", "risa")
     _capitals(marks)
-    for m in LENGTHENED.finditer(text):
+    for m in LENGTHENED.finditer(text) if THRICE.search(text) else ():
         if marks.free(*m.span()) and not any(map(str.isdigit, m[0])):
             marks.add("tecnografismo", *m.span(), re.sub(r"(\w)\1{2,}", r"\1", m[0]).lower(), "alargamiento")
     for m in PUNCTUATION.finditer(text):
