@@ -140,8 +140,8 @@ def _windows(length: int):
     return run
 
 
-def _cut(text_at: int, spans_at: int, length: int):
-    """Appends the number of words, of removed ones, and the words that stay, joined by single spaces."""
+def _cut(text_at: int, spans_at: int, length: int, drop: bool = False):
+    """Appends the number of words, of removed ones, and the words that stay, joined by single spaces; with drop the text itself goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +162,7 @@ def _cut(text_at: int, spans_at: int, length: int):
                 total.append(n)
                 gone.append(int(hit.sum()))
                 kept.append(b" ".join(words).decode("utf-8", "replace"))
-            columns = [c for i, c in enumerate(batch.columns) if i != spans_at]
+            columns = [c for i, c in enumerate(batch.columns) if i != spans_at and not (drop and i == text_at)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [f"c{i}" for i in range(len(columns) + 3)])
 
     return run
@@ -193,9 +193,15 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, length
     return map_arrow(out, _cut(docs.columns.index(text), len(docs.columns), length), schema)
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    df = dedup(docs.select("doc_id", "text"))
-    return df.select("doc_id", F.col("sd_words").alias("n_words"), F.col("sd_removed").alias("n_removed"), F.sha2("sd_text", 256).alias("kept_sha256"))
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_removed and the digest of the words that stay. Texts are shuffled once: all steps that need them use the same exchange."""
+    key, by_id = row_key(docs, "doc_id", "text")
+    keyed = docs.select(key.alias("k"), F.col("text").alias("t")).where("k is not null")
+    cut = map_arrow(keyed.join(repeats(keyed, length, gram), "k", "left").select("k", "t", "spans"), _cut(1, 2, length, drop=True), "k long, n_words long, n_removed long, kept string")
+    rows = cut.select("k", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    if by_id:
+        return rows.withColumn("k", F.col("k").cast(docs.schema["doc_id"].dataType)).withColumnRenamed("k", "doc_id")
+    return docs.select(key.alias("k"), "doc_id").join(rows.dropDuplicates(["k"]), "k").drop("k")
 
 
 DIGEST_SQL = r"""
