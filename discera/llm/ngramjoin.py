@@ -17,7 +17,8 @@ but for 64-bit hashes of shingles.
 4. Star: within the documents that have a shingle in their prefix, all are held against the
    one with the fewest lone shingles, which is near most of its kin; each document
    is verified against the leader it meets most often. So a group of m near copies gives m
-   pairs, not m * m / 2.
+   pairs, not m * m / 2. While much is left open, what lies outside the largest component of
+   its buckets meets a leader from there, in the same way.
 5. The rest, exactly: where a prefix shingle still joins different components, every
    document outside its largest component is paired with all documents of other components
    that pass the length and positional filters; pairs are made distinct, pass the suffix
@@ -114,7 +115,9 @@ def _sizes(k: int):
 
 
 def _tokens(k: int, percent: int | None, hot: np.ndarray):
-    """The first shingles of each set in hash order (all where percent is None). The lowest bit marks hot ones."""
+    """The first shingles of each set in hash order (all where percent is None). hot: frequent shingles, the rarest first; the lowest bit marks them, and what stands for them keeps that order."""
+    order = np.argsort(hot)
+    names, places = hot[order], (order.astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
     def run(batches):
         for b in batches:
@@ -124,15 +127,19 @@ def _tokens(k: int, percent: int | None, hot: np.ndarray):
                 edge = np.concatenate([[0], np.cumsum(n)])
                 rank = np.arange(len(grams)) - np.repeat(edge[:-1], n)
                 kept = grams[rank < np.repeat(take, n)]
-                i = np.minimum(np.searchsorted(hot, kept), max(len(hot) - 1, 0))
-                mark = hot[i] == kept if len(hot) else np.zeros(len(kept), bool)
-                kept = kept & ~np.uint64(1) | mark.astype(np.uint64)
+                if len(hot):
+                    i = np.minimum(np.searchsorted(names, kept), len(hot) - 1)
+                    kept = np.where(names[i] == kept, places[i], kept & ~np.uint64(1))
+                else:
+                    kept &= ~np.uint64(1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n, pa.int64()), tk.lists(tk.signed(kept), take, pa.int64())], ["k", "n", "h"])
                 at += len(n)
 
     return run
 
 
+TURNS, LINEAR = 2, 8
+"""At most so many more rounds of leaders, while more than LINEAR pairs a row are left to look at."""
 HOT = 0.02
 """Shingles in so many of all documents go round the count: they are known to be shared."""
 SAMPLE = 25
@@ -151,7 +158,8 @@ def roots(docs: DataFrame, key: Column, text: str = "text", *, k: int = K, perce
     sizes = counted.where("k is not null")
     least = max(2, int(HOT * sizes.count()))
     often = counted.where("k is null").groupBy("da").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    hot = np.unique(np.asarray(often.select("da").toArrow().column("da")).astype(np.int64).view(np.uint64))  # at most 1 / HOT times the mean size of a set
+    often = often.orderBy("n", "da").toArrow()  # at most 1 / HOT times the mean size of a set
+    hot = np.asarray(often.column("da")).astype(np.int64).view(np.uint64)
     classes = sizes.where("n > 0").groupBy("da", "db", "n").agg(F.min("k").alias("rep"))
 
     sample = map_arrow(keyed, _tokens(k, percent, hot), "k long, n long, h array<long>").select("k", F.explode("h").alias("h"))
@@ -172,21 +180,31 @@ def roots(docs: DataFrame, key: Column, text: str = "text", *, k: int = K, perce
     head = head.select("h", "k", "n", "lone", (F.col("lone") + F.col("i")).alias("p"))
 
     leaders = head.groupBy("h").agg(F.min(F.struct("lone", "k", "n", "p")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    near = split_join(head, leaders.select("h", F.col("x.k").alias("lk"), F.col("x.n").alias("ln"), F.col("x.p").alias("lp")), ["h"]).where("k <> lk").where(_may(F.col("n"), F.col("p"), F.col("ln"), F.col("lp"), percent))
-    best = near.groupBy("k", "lk").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", F.negative("lk").alias("x"))).alias("m"))
-    stars = _verified(best.select(F.col("k").alias("a"), F.negative(F.col("m.x")).alias("b")), sets, percent)
-    stars = saved(stars)
-    roots = components(stars)
-
-    labelled = head.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    per = labelled.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h", F.col("m.root").alias("main"))
-    opened = saved(split_join(labelled, main, ["h"]))
+    tried = saved(_led(head, leaders, percent))
+    links = saved(_verified(tried, sets, percent))
+    rows = head
+    for turn in range(TURNS + 1):
+        tree = components(links)
+        labelled = rows.join(tree.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        per = labelled.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+        main = per.groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        opened = saved(split_join(labelled, main.select("h", F.col("m.root").alias("main"), "all"), ["h"]))
+        work = opened.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("root") != F.col("main"), F.col("all"))).alias("pairs")).first()
+        if turn == TURNS or (work["pairs"] or 0) <= LINEAR * work["rows"]:
+            break
+        rows = opened.select(head.columns)  # buckets with one component keep one
+        # what lies outside its bucket's largest component meets members of other components with like sizes, before it meets all
+        size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).cast("int")
+        kin = opened.withColumn("size", size).groupBy("h", "size", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("lone", "k", "n", "p")).alias("x"))
+        leaders = kin.groupBy("h", "size").agg(F.max(F.struct("c", F.negative("root").alias("r"), "x")).alias("m")).select("h", "size", "m.x")
+        outside = opened.where("root <> main").withColumn("size", F.explode(F.array(size - 1, size, size + 1)))
+        more = saved(_led(outside, leaders, percent, ["h", "size"]).join(tried, ["a", "b"], "left_anti"))
+        tried, links = tried.union(more), saved(links.unionByName(_verified(more, sets, percent)))
+
     minor = opened.where("root <> main").select("h", *(F.col(c).alias(f"x_{c}") for c in ("k", "n", "p", "root")))
     pairs = opened.join(minor, "h").where((F.col("root") != F.col("x_root")) & _may(F.col("n"), F.col("p"), F.col("x_n"), F.col("x_p"), percent))
-    pairs = pairs.select(F.greatest("k", "x_k").alias("a"), F.least("k", "x_k").alias("b")).distinct()
-    more = _verified(pairs, sets, percent)
-    final = components(stars.unionByName(more))
+    pairs = pairs.select(F.greatest("k", "x_k").alias("a"), F.least("k", "x_k").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    final = components(links.unionByName(_verified(pairs, sets, percent)))
 
     members = split_join(sizes.where("n > 0").select("da", "db", "n", "k"), classes, ["da", "db", "n"]).select("k", "n", "rep")
     members = members.union(sizes.where("n = 0").select("k", "n", F.lit(None).cast("long"))).dropDuplicates(["k"])
@@ -205,6 +223,15 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options)
     return out.join(names, F.col("nj_root") == F.col("nj_r")).select(*(F.col(c) for c in docs.columns), "nj_size", "nj_component")
 
 
+def _led(rows: DataFrame, leaders: DataFrame, percent: int, on: list[str] = ["h"]) -> DataFrame:  # noqa: B006  never changed
+    """Pairs a, b of each document and the leader that it meets in most of its buckets. leaders: on, x."""
+    near = split_join(rows, leaders.select(*on, F.col("x.k").alias("lk"), F.col("x.n").alias("ln"), F.col("x.p").alias("lp")), on)
+    near = near.where(F.col("k") != F.col("lk")).where(_may(F.col("n"), F.col("p"), F.col("ln"), F.col("lp"), percent))
+    best = near.groupBy("k", "lk").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", F.negative("lk").alias("x"))).alias("m"))
+    leader = F.negative(F.col("m.x"))
+    return best.select(F.greatest("k", leader).alias("a"), F.least("k", leader).alias("b")).distinct()
+
+
 def _may(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
     """Length filter, and positional filter for a first common shingle at positions p and q."""
     lengths = (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
