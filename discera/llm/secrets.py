@@ -158,10 +158,13 @@ def _may(data: np.ndarray, offsets: np.ndarray) -> Iterator[int]:
         a, z = int(offsets[lo]), int(offsets[hi])
         other = np.flatnonzero(~hexadecimal[data[a:z]])
         other = np.concatenate([[-1], other, [z - a]])
-        long = other[:-1][np.diff(other) > LEAST["hex"]] + 1 + a
-        runs = set((np.searchsorted(offsets, long, "right") - 1).tolist())
-        # a run may cross the border of two documents: each of them is then looked at
-        runs |= {int(np.searchsorted(offsets, x + LEAST["hex"] - 1, "right") - 1) for x in long.tolist()}
+        long = np.flatnonzero(np.diff(other) > LEAST["hex"])
+        runs = set()
+        # a run may cross the borders of documents: each of them is held against its own part
+        for x, y in zip((other[long] + 1 + a).tolist(), (other[long + 1] + a).tolist(), strict=True):
+            first, last = int(np.searchsorted(offsets, x, "right")) - 1, int(np.searchsorted(offsets, y, "left"))
+            parts = np.diff(np.clip(offsets[first : last + 1], x, y))
+            runs.update((first + np.flatnonzero(parts >= LEAST["hex"])).tolist())
         for d in range(lo, hi):
             raw = data[offsets[d] : offsets[d + 1]].tobytes()
             low = raw.lower()

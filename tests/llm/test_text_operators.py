@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,6 +104,15 @@ def test_secrets_against_brute_force(spark, data):
         assert x.base_sha256 == cases.sha(_plain_secrets(documents[x.doc_id]))
 
 
+def test_secrets_of_bare_hex_side_by_side(spark):
+    texts = ["a" * 64, "b" * 64, "x y", "c" * 40, "", "d" * 40, "e" * 40, None, "f" * 31, "0" * 31, "z", "1" * 16, "2" * 16, "3" * 32, "é" + "4" * 33, "5" * 32]
+    docs = cases.frame(spark, cases.rows(texts)).coalesce(1)
+    for x in secrets.digest(docs).collect():
+        assert x.spans == _plain_secrets(texts[x.doc_id]), texts[x.doc_id]
+    data, offsets = tk.utf8(pa.array(texts))
+    assert sorted(secrets._may(data, offsets)) == [i for i, t in enumerate(texts) if _plain_secrets(t)]
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("") == 0
