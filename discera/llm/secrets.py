@@ -2,8 +2,10 @@
 
 Base spans come from three patterns (assign, access, hex), each leftmost and without
 overlaps of its own kind. The method adds `guess` spans: a value of 8 or more characters
-after another credential word (pwd, passphrase, bearer, credentials, private key, ...) and a
-separator, which overlaps no base span and whose guess cost is at least `least` (log10).
+after a word of the assign pattern and : or =, or after another credential word (pwd,
+passphrase, bearer, credentials, private key, ...) and a separator, which overlaps no base
+span and whose guess cost is at least `least` (log10). Values after the former come first;
+guess spans do not overlap.
 
 Guess cost is the cheapest segmentation of the value, by dynamic programming over its
 places: common words (by rank; capitals and look-alike digits cost more), dates, repeats,
@@ -22,8 +24,10 @@ are carried along unchanged.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from math import log10
 
 import numpy as np
@@ -42,6 +46,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|auth|authorization|bearer|credentials?|private_?key|client_?key|access_?key|secret_?key|encryption_?key|login)["']?\x20*[:=\x20]\x20*["']?([^\s"'<>,;]{8,})""", re.A | re.I)
+BASE_CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", re.A | re.I)
+VALUE_END = re.compile(r"""[\s"'<>,;]""", re.A)
 NEEDLES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"pwd", b"pass", b"pin", b"auth", b"bearer", b"credential", b"private", b"client", b"access", b"encryption", b"login")
 GUESS = 10.0
 PIECE = 40
@@ -130,23 +136,37 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _base_values(text: str) -> Iterator[tuple[int, int]]:
+    """Where the values after the words of the assign pattern stand; they may overlap."""
+    end = -1
+    for m in BASE_CONTEXT.finditer(text):
+        a = m.end()
+        if a > end:
+            stop = VALUE_END.search(text, a)
+            end = stop.start() if stop else len(text)
+        if end - a >= LEAST["assign"]:
+            yield a, end
+
+
 def find(text: str, least: float = GUESS) -> list[tuple[str, int, int, str, float]]:
     """(kind, start, end, value, guess cost) of all spans, by start and kind."""
     spans = [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     spans += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     spans += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
     out = [(*s, guess_cost(s[3])) for s in spans]
-    taken = sorted((s[1], s[2]) for s in spans)
-    free = 0
-    for m in CONTEXT.finditer(text):
-        while free < len(taken) and taken[free][1] <= m.start(1):
-            free += 1
-        if free < len(taken) and taken[free][0] < m.end(1):
-            continue
-        if any(a < m.end(1) and m.start(1) < b for a, b in taken[max(0, free - 1) : free + 1]):
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for a, b in sorted((s[1], s[2]) for s in spans):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    for a, b in chain(_base_values(text), (m.span(1) for m in CONTEXT.finditer(text))):
+        at = bisect_left(taken, (b,))
+        if at and taken[at - 1][1] > a:
             continue
-        if (cost := guess_cost(m[1])) >= least:
-            out.append(("guess", m.start(1), m.end(1), m[1], cost))
+        if (cost := guess_cost(text[a:b])) >= least:
+            out.append(("guess", a, b, text[a:b], cost))
+            taken.insert(at, (a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -113,6 +113,17 @@ def test_secrets_of_bare_hex_side_by_side(spark):
     assert sorted(secrets._may(data, offsets)) == [i for i, t in enumerate(texts) if _plain_secrets(t)]
 
 
+def test_guesses_after_the_words_of_the_assign_pattern(spark):
+    texts = ['password = "Xq9$vT2!mK7#zL"', "token: k#8Vw!2pQz@71", 'secret="$2b$12$KIXabc"', "Api_Key='é!7Qz#p0Wm' passwd:%9Lk$2vB!x", "login password: Xq9$vT2!mK7#zL", "secret=password: k#8Vw!2pQz@71"]
+    texts += ["password = #password", "token Xq9$vT2!mK7#zL", "secret: a#b", "token=abcdefgh$Xq9vT2mK7zL"]
+    want = [["Xq9$vT2!mK7#zL"], ["k#8Vw!2pQz@71"], ["$2b$12$KIXabc"], ["é!7Qz#p0Wm", "%9Lk$2vB!x"], ["Xq9$vT2!mK7#zL"], ["k#8Vw!2pQz@71"], [], [], [], []]
+    for x in secrets.scan(cases.frame(spark, cases.rows(texts))).collect():
+        assert [s.value for s in x.sc_spans if s.kind == "guess"] == want[x.doc_id], x.text
+        assert all(x.text[s.start : s.end] == s.value for s in x.sc_spans if s.kind == "guess")
+    for x in secrets.digest(cases.frame(spark, cases.rows(texts))).collect():
+        assert x.base_sha256 == cases.sha(_plain_secrets(texts[x.doc_id]))
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("") == 0
