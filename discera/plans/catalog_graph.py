@@ -20,7 +20,7 @@ EDGES = "e AS (SELECT c_nationkey::VARCHAR AS origen, s_nationkey::VARCHAR AS de
 
 
 def _edges(t):
-    o = t.orders.where("o_orderkey % 50 = 0").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("string").alias("origen"))
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("string").alias("origen"))
     li = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("l_orderkey", F.col("s_nationkey").cast("string").alias("destino"))
     return gr.build(o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("origen", "destino", F.lit(1.0).alias("peso")))
 
