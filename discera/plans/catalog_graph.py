@@ -96,7 +96,7 @@ _LINKS = "l AS (SELECT l_orderkey AS a, l_partkey + 100000000 AS b FROM lineitem
 
 @query(f"WITH RECURSIVE {_LINKS}, s AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT DISTINCT a AS nodo, a AS otro FROM s UNION SELECT r.nodo, s.b FROM r JOIN s ON s.a = r.otro) SELECT nodo, min(otro) AS componente FROM r GROUP BY nodo")
 def g_components(t):
-    return gr.components(t.lineitem.where("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b"))).select("nodo", "componente")
+    return gr.components(t.lineitem.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b"))).select("nodo", "componente")
 
 
 @query("SELECT conv_id || ':' || turn AS post_id, conv_id || ':0' AS conversacion, turn AS profundidad, 0 AS huerfano FROM conversations")
@@ -223,7 +223,7 @@ def er_seed_handles(t):
 l AS (SELECT a.k AS a, b.k AS b FROM w a JOIN w b ON a.d = b.d AND a.k <> b.k WHERE a.n = b.n OR (len(list_intersect(a.w, b.w)) = least(len(a.w), len(b.w)) AND least(len(a.w), len(b.w)) >= 2) OR len(list_intersect(a.w, b.w)) >= 3),
 r AS (SELECT k, k AS o FROM w UNION SELECT r.k, l.b FROM r JOIN l ON l.a = r.o) SELECT k AS p_partkey, min(o) AS grupo FROM r GROUP BY k""")
 def er_coref(t):
-    return rs.coreference(t.part.where("p_partkey <= 400"), "p_brand", "p_partkey", "p_name")
+    return rs.coreference(t.part, "p_brand", "p_partkey", "p_name")
 
 
 @query("SELECT n_nationkey AS id, lower(n_name) AS canonical_id FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 > 0")
@@ -297,7 +297,7 @@ def er_merge_suggest(t):
 e AS (SELECT l_orderkey, idx, unnest(CASE WHEN v = 'R' THEN ['a', 'b'] ELSE ['a'] END) AS quien, unnest(CASE WHEN v = 'R' THEN [0, 1] ELSE [0] END) AS i, l_linestatus, max(idx) OVER (PARTITION BY l_orderkey) AS top FROM x)
 SELECT l_orderkey, CASE WHEN i = 1 THEN top + sum(i) OVER (PARTITION BY l_orderkey ORDER BY idx, i ROWS UNBOUNDED PRECEDING) ELSE idx END::BIGINT AS idx, quien, CASE WHEN i = 0 THEN l_linestatus END AS payload FROM e""")
 def er_split_event(t):
-    x = t.lineitem.where("l_orderkey % 20 = 0").select("l_orderkey", F.col("l_linenumber").cast("long").alias("idx"), "l_returnflag", F.col("l_linestatus").alias("payload"))
+    x = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("long").alias("idx"), "l_returnflag", F.col("l_linestatus").alias("payload"))
     who = F.when(F.col("l_returnflag") == "R", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
     return rs.split_events(x, ["l_orderkey"], "idx", who, "quien", ["payload"]).select("l_orderkey", "idx", "quien", "payload")
 
@@ -384,7 +384,7 @@ for _metric in ("nominal", "interval", "ordinal"):
 
 
 def _events_of(t, shift):
-    e = t.events_view().where("frase_idx < 30")
+    e = t.events_view()
     names = F.array(*map(F.lit, ("Ana Paz", "el pueblo", "Juan", "la gente de Juan")))
     return e.select(F.concat_ws(":", "codigo", F.expr("frase_idx div 3")).alias("unidad"), "frase_idx", ((F.col("frase_idx") + shift) % 3).alias("idx"), F.when((F.col("k") + shift) % 4 == 0, "otro").otherwise(F.col("tipo_emocion")).alias("tipo"), F.element_at(names, ((F.col("k") + shift) % 4 + 1).cast("int")).alias("experienciador"), F.when(F.col("k") % 2 == 0, "la ley").alias("fuente")).drop("frase_idx")
 

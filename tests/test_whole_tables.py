@@ -1,11 +1,29 @@
 """Queries over whole tables, against sums and small algorithms that cut nothing."""
 
+import datetime
 from collections import Counter
 
 import duckdb
 import pytest
 
+from discera.plans import catalog_graph as graphs
 from discera.plans.catalog import QUERIES
+from discera.plans.views import Tables
+
+
+class Small(Tables):
+    """Tables given as rows."""
+
+    def __init__(self, spark, **tables):
+        super().__init__(spark, "")
+        self.__dict__.update({name: spark.createDataFrame(rows, schema) for name, (rows, schema) in tables.items()})
+
+
+EVENTS = "event_id long, user_id long, ts timestamp, event_type string, value double, props string"
+
+
+def _events(n, user=7):
+    return [(i, user, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i), ("click", "error", "purchase")[i % 3], 1.0, f'{{"k": {i % 100}}}') for i in range(n)]
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +53,24 @@ def test_graph_of_all_orders(spark, data, whole):
             moved[b] += rank[a] * w / total[a]
         rank = {n: 0.15 / len(nodes) + 0.85 * (moved[n] + lost / len(nodes)) for n in nodes}
     assert {r.nodo: r.pagerank for r in QUERIES["g_pagerank_converged"](spark, data).collect()} == pytest.approx(rank)
+
+
+def test_all_order_lines(spark):
+    # orders 1 to 60 form a chain of parts, order 70 stands alone
+    lines = [(o, p, 1 + p - o, "R" if p > o else "N", "O") for o in range(1, 61) for p in (o, o + 1)] + [(70, 900, 1, "A", "F")]
+    t = Small(spark, lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string"))
+    part = 100000000
+    want = {**{o: 1 for o in range(1, 61)}, **{p + part: 1 for p in range(1, 62)}, 70: 70, 900 + part: 70}
+    assert {r.nodo: r.componente for r in graphs.g_components(t).collect()} == want
+    want = [x for o in range(1, 61) for x in ((o, 1, "a", "O"), (o, 2, "a", "O"), (o, 3, "b", None))] + [(70, 1, "a", "F")]
+    assert sorted(tuple(r) for r in graphs.er_split_event(t).collect()) == want
+
+
+def test_all_parts_and_events(spark):
+    parts = [(k, "b", f"word{k} name{k}") for k in (1, 400, 401)] + [(500, "b", "red blue green"), (7000, "b", "green blue red lace"), (90000, "c", "red blue green")]
+    t = Small(spark, part=(parts, "p_partkey long, p_brand string, p_name string"), events=(_events(100), EVENTS))
+    assert {r.p_partkey: r.grupo for r in graphs.er_coref(t).collect()} == {1: 1, 400: 400, 401: 401, 500: 500, 7000: 500, 90000: 90000}
+    units = {r.unidad: r.tp + r.fn for r in graphs.ev_match(t).collect()}
+    assert units == {f"7:{u}": min(3, 100 - 3 * u) for u in range(34)}
+    report = graphs.ev_report(t).first()
+    assert report.tp + report.fn == report.tp + report.fp == 100
