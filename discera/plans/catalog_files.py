@@ -101,14 +101,14 @@ def sink_append_dedup_csv(t):
 @query("SELECT event_id::VARCHAR AS event_id, props::JSON ->> 'k' AS carac__k FROM events WHERE event_id < 300")
 def sink_csv_docs(t):
     path = new_folder(t.spark)
-    rd.write_csv(st.flatten(t.events.where("event_id < 300").select("event_id", "props"), "props", "carac", ["k"]), path)
+    rd.write_csv(st.flatten(t.events.select("event_id", "props"), "props", "carac", ["k"]), path)
     return rd.read_csv(t.spark, path)
 
 
 @query(f"WITH {EVENTS} SELECT codigo::VARCHAR AS codigo, frase_idx::VARCHAR AS frase_idx, props AS payload FROM ev WHERE codigo < 20")
 def sink_csv_units(t):
     path = new_folder(t.spark)
-    rd.write_csv(t.events_view().where("codigo < 20").select("codigo", "frase_idx", F.col("props").alias("payload")), path)
+    rd.write_csv(t.events_view().select("codigo", "frase_idx", F.col("props").alias("payload")), path)
     return rd.read_csv(t.spark, path)
 
 
@@ -145,7 +145,7 @@ def sink_golden_jsonl(t):
 
 @query(f"WITH {EVENTS} SELECT a.codigo, a.frase_idx AS i, b.frase_idx AS j, a.tipo_emocion = b.tipo_emocion AS mismo FROM ev a JOIN ev b ON a.codigo = b.codigo AND a.frase_idx // 3 = b.frase_idx // 3 WHERE a.codigo < 40")
 def join_golden_pred(t):
-    e = t.events_view().where("codigo < 40").select("codigo", F.expr("frase_idx div 3").alias("u"), "frase_idx", "tipo_emocion")
+    e = t.events_view().select("codigo", F.expr("frase_idx div 3").alias("u"), "frase_idx", "tipo_emocion")
     g, p = e.withColumnsRenamed({"frase_idx": "i", "tipo_emocion": "x"}), e.withColumnsRenamed({"frase_idx": "j", "tipo_emocion": "y"})
     return g.join(p, ["codigo", "u"]).select("codigo", "i", "j", (F.col("x") == F.col("y")).alias("mismo"))
 
@@ -158,7 +158,7 @@ def fn_jaccard(t):
 @query("SELECT event_id, (['risa', 'alargamiento', 'puntuacion', ''])[(event_id % 4 + 1)::INT] AS clase FROM events WHERE event_id < 400")
 def ext_typo(t):
     text = F.element_at(F.array(*map(F.lit, ("jajaja sí", "holaaaa sí", "qué?! sí", "nada sí"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return t.events.where("event_id < 400").select("event_id", F.coalesce(F.get(sp.spans(text), F.lit(0))["extra"], F.lit("")).alias("clase"))
+    return t.events.select("event_id", F.coalesce(F.get(sp.spans(text), F.lit(0))["extra"], F.lit("")).alias("clase"))
 
 
 @query("SELECT event_id, (CASE event_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 5 WHEN 2 THEN 90 ELSE 60 END)::DOUBLE AS v FROM events")
@@ -200,11 +200,12 @@ def inc_cursor(t):
     """Pages of an archive up to max_items."""
     import pandas as pd
 
-    rows = t.posts().where("int(conversacion_id) < 5").orderBy(F.col("conversacion_id").cast("int"), "turn").coalesce(1).select(F.col("post_id").alias("id"), "texto")
+    # every text holds the empty query, so the cursor never comes to a post beyond the eighth
+    rows = t.posts().where("texto is not null").orderBy(F.col("conversacion_id").cast("long"), "turn").limit(8).select(F.col("post_id").alias("id"), "texto")
 
     def run(parts):
-        pdf = pd.concat(list(parts))
-        yield pd.DataFrame(pages(MemoryPlatform(pdf.to_dict("records"), 3), "", 7))[["id"]]
+        records = [r for pdf in parts for r in pdf.to_dict("records")]
+        yield pd.DataFrame(pages(MemoryPlatform(records, 3), "", 7), columns=["id", "texto"])[["id"]]
 
     return rows.mapInPandas(run, "id string")
 

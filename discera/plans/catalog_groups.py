@@ -388,7 +388,7 @@ def win_session(t):
 
 @query("SELECT doc_id, toxic FROM documents LEFT JOIN labels USING (doc_id) ORDER BY toxic NULLS LAST, doc_id LIMIT 50")
 def sort_nulls_last(t):
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "toxic").orderBy(F.asc_nulls_last("toxic"), "doc_id").limit(50)
+    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "toxic").orderBy(F.asc_nulls_last("toxic"), "doc_id")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")

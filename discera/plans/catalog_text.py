@@ -159,7 +159,7 @@ def parse_html_links(t):
 
 @query("SELECT url, strftime(DATE '2024-01-01' + (page_id % 28)::INT, '%Y-%m-%d') AS fecha FROM pages WHERE page_id < 100")
 def parse_feeds(t):
-    p = t.pages.where("page_id < 100").select("url", F.expr("date_add(date'2024-01-01', int(page_id % 28))").alias("fecha"))
+    p = t.pages.select("url", F.expr("date_add(date'2024-01-01', int(page_id % 28))").alias("fecha"))
     entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>"), F.col("fecha").cast("string"), F.lit("T00:00:00Z</lastmod></url>"))
     return ht.sitemap(p.select(F.concat(F.lit("<urlset>"), entry, F.lit("</urlset>")).alias("value"))).select("url", F.col("fecha").cast("string").alias("fecha"))
 
@@ -209,7 +209,7 @@ def src_api_v2_map(t):
     ref = F.lit(None).cast("array<struct<type:string,id:string>>")
     tweet = F.struct(F.col("post_id").alias("id"), F.col("texto").alias("text"), F.lit("7").alias("author_id"), ref.alias("referenced_tweets"))
     users = F.array(F.struct(F.lit("7").alias("id"), F.lower("autor_handle").alias("username"), F.lit("N").alias("name")))
-    lines = t.posts().where("int(conversacion_id) < 20").select(F.to_json(F.struct(F.array(tweet).alias("data"), F.struct(users.alias("users")).alias("includes"))).alias("value"))
+    lines = t.posts().select(F.to_json(F.struct(F.array(tweet).alias("data"), F.struct(users.alias("users")).alias("includes"))).alias("value"))
     return rd.posts_mixed(lines).select(F.col("post_id").alias("id"), F.col("autor_handle").alias("autor"))
 
 
@@ -228,10 +228,10 @@ def src_csv_docs(t):
 
 @query("SELECT doc_id::VARCHAR AS codigo, md5(text) AS h FROM documents WHERE doc_id < 50")
 def src_json_docs(t):
-    rows = t.documents.where("doc_id < 50").select(F.col("doc_id").cast("string").alias("codigo"), F.col("text").alias("contenido"))
-    one = rows.groupBy((F.col("codigo").cast("long") % 2).alias("g")).agg(F.when(F.max(F.col("codigo").cast("long") % 2) == 0, F.to_json(F.collect_list(F.struct("codigo", "contenido")))).otherwise(F.to_json(F.map_from_entries(F.collect_list(F.struct("codigo", F.struct("contenido")))))).alias("value"))
+    rows = t.documents.select(F.expr("doc_id div 50").alias("g"), F.col("doc_id").cast("string").alias("codigo"), F.col("text").alias("contenido"))
+    one = rows.groupBy("g").agg(F.when(F.col("g") % 2 == 0, F.to_json(F.collect_list(F.struct("codigo", "contenido")))).otherwise(F.to_json(F.map_from_entries(F.collect_list(F.struct("codigo", F.struct("contenido")))))).alias("value"))
     path = new_folder(t.spark)
-    one.select("value").repartition(2, "value").write.text(path)
+    one.select("value").write.option("maxRecordsPerFile", 1).text(path)  # each file is one JSON value
     return rd.documents_json(t.spark, path).select("codigo", F.md5("contenido").alias("h"))
 
 
@@ -253,12 +253,12 @@ def src_connectors(t):
 
     import pandas as pd
 
-    def run(parts):  # each partition of posts plays one account's archive, paged by a cursor
+    def run(parts):  # each conversation in a batch of posts plays one account's archive, paged by a cursor
         for pdf in parts:
-            found = list(pages(MemoryPlatform(pdf.to_dict("records"), 3), "the"))
+            found = [post for _, archive in pdf.groupby("conversacion_id") for post in pages(MemoryPlatform(archive.to_dict("records"), 3), "the")]
             yield pd.DataFrame(found, columns=["id", "autor_handle", "texto"])[["id", "autor_handle"]]
 
-    return t.posts().where("int(conversacion_id) < 30").select(F.col("post_id").alias("id"), "autor_handle", "texto").mapInPandas(run, "id string, autor_handle string")
+    return t.posts().where("texto is not null").select(F.col("post_id").alias("id"), "autor_handle", "texto", "conversacion_id").mapInPandas(run, "id string, autor_handle string")
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS desde, count(*) AS n FROM events GROUP BY ALL")

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from discera.plans import catalog_files as files
 from discera.plans import catalog_graph as graphs
 from discera.plans.catalog import QUERIES
 from discera.plans.views import Tables
@@ -74,3 +75,33 @@ def test_all_parts_and_events(spark):
     assert units == {f"7:{u}": min(3, 100 - 3 * u) for u in range(34)}
     report = graphs.ev_report(t).first()
     assert report.tp + report.fn == report.tp + report.fp == 100
+
+
+WHOLE = {
+    "src_json_docs": "SELECT doc_id::VARCHAR AS codigo, md5(text) AS h FROM {documents}",
+    "src_connectors": "SELECT role AS autor_handle, conv_id || ':' || turn AS id FROM {conversations} WHERE contains(lower(text), 'the')",
+    "src_api_v2_map": "SELECT lower(role) AS autor, conv_id || ':' || turn AS id FROM {conversations}",
+    "parse_feeds": "SELECT strftime(DATE '2024-01-01' + (page_id % 28)::INT, '%Y-%m-%d') AS fecha, url FROM {pages}",
+    "sink_csv_docs": "SELECT props::JSON ->> 'k' AS carac__k, event_id::VARCHAR AS event_id FROM {events}",
+    "sink_csv_units": "SELECT user_id::VARCHAR AS codigo, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::VARCHAR AS frase_idx, props AS payload FROM {events}",
+    "join_golden_pred": "WITH e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, event_type AS x FROM {events}) SELECT a.u AS codigo, a.i AS i, b.i AS j, a.x = b.x AS mismo FROM e a JOIN e b ON a.u = b.u AND a.i // 3 = b.i // 3",
+    "ext_typo": "SELECT (['risa', 'alargamiento', 'puntuacion', ''])[(event_id % 4 + 1)::INT] AS clase, event_id FROM {events}",
+    "sort_nulls_last": "SELECT doc_id, toxic FROM {documents} LEFT JOIN {labels} USING (doc_id)",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_all_rows(spark, data, whole, name):
+    got = QUERIES[name](spark, data)
+    assert Counter(tuple(r) for r in got.select(*sorted(got.columns)).collect()) == Counter(whole(WHOLE[name]))
+
+
+def test_sort_of_all_rows(spark, data):
+    got = [(r.toxic is None, r.toxic or 0, r.doc_id) for r in QUERIES["sort_nulls_last"](spark, data).collect()]
+    assert got == sorted(got)
+
+
+def test_cursor_beyond_the_first_conversations(spark):
+    rows = [(c, 0, "user", "x" if c % 2 else None) for c in range(40)]
+    t = Small(spark, conversations=(rows, "conv_id long, turn int, role string, text string"))
+    assert [r.id for r in files.inc_cursor(t).collect()] == [f"{c}:0" for c in range(1, 15, 2)]
