@@ -39,8 +39,8 @@ class Tables:
         return self.events.select(F.col("user_id").alias("codigo"), idx.cast("long").alias("frase_idx"), "event_id", F.col("event_type").alias("tipo_emocion"), foria.alias("foria"), "value", "ts", F.get_json_object("props", "$.k").cast("long").alias("k"), "props")
 
     def post_events(self) -> DataFrame:
-        """Events on posts: each word of 4 letters or more among the first 12 whose length is a multiple of 3 is an event; its type is its first letter."""
-        words = F.expr("slice(regexp_extract_all(lower(texto), '[a-z]{4,}', 0), 1, 12)")
+        """Events on posts: each word of 4 letters or more whose length is a multiple of 3 is an event; its type is its first letter."""
+        words = F.expr("regexp_extract_all(lower(texto), '[a-z]{4,}', 0)")
         p = self.posts().select("post_id", F.posexplode(words).alias("i", "w")).where("length(w) % 3 = 0")
         return p.select("post_id", "i", F.substring("w", 1, 1).alias("tipo"), F.element_at(F.array(*map(F.lit, FORIAS)), (F.length("w") % 5 + 1).cast("int")).alias("foria"))
 

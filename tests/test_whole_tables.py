@@ -8,6 +8,7 @@ import pytest
 
 from discera.plans import catalog_files as files
 from discera.plans import catalog_graph as graphs
+from discera.plans import catalog_groups as groups
 from discera.plans.catalog import QUERIES
 from discera.plans.views import Tables
 
@@ -105,3 +106,10 @@ def test_cursor_beyond_the_first_conversations(spark):
     rows = [(c, 0, "user", "x" if c % 2 else None) for c in range(40)]
     t = Small(spark, conversations=(rows, "conv_id long, turn int, role string, text string"))
     assert [r.id for r in files.inc_cursor(t).collect()] == [f"{c}:0" for c in range(1, 15, 2)]
+
+
+def test_events_of_whole_posts(spark):
+    text = "mind " * 30 + "flower " + "tree " * 100 + "garden Window."
+    t = Small(spark, conversations=([(1, 0, "user", text), (1, 1, "assistant", "garden")], "conv_id long, turn int, role string, text string"))
+    assert sorted((r.post_id, r.i, r.tipo, r.foria) for r in t.post_events().collect()) == [("1:0", 30, "f", "disforico"), ("1:0", 131, "g", "disforico"), ("1:0", 132, "w", "disforico"), ("1:1", 0, "g", "disforico")]
+    assert {r.post_id: r.foria for r in groups.agg_mode_foria_by_post(t).collect()} == {"1:0": "disforico", "1:1": "disforico"}
