@@ -160,7 +160,7 @@ def _features(t):
 
 @query(f"WITH {_SIM} SELECT a, b, round(s, 4) AS similitud, compartidos FROM j WHERE s >= 0.5")
 def g_sim_pairs(t):
-    return gr.similarity_pairs(_features(t), "p_partkey", {"marca": 2.0, "tipo": 1.0, "talla": 1.0}, 0.5, 0.05)
+    return gr.similarity_pairs(_features(t), "p_partkey", {"marca": 2.0, "tipo": 1.0, "talla": 1.0}, 0.5)
 
 
 @query("SELECT p_partkey, len(list_distinct(string_split(p_type, ' '))) AS n FROM part")
@@ -170,7 +170,7 @@ def g_sim_features(t):
 
 @query()
 def g_sim_groups(t):
-    pairs = gr.similarity_pairs(_features(t), "p_partkey", {"marca": 2.0, "tipo": 1.0, "talla": 1.0}, 0.5, 0.05)
+    pairs = gr.similarity_pairs(_features(t), "p_partkey", {"marca": 2.0, "tipo": 1.0, "talla": 1.0}, 0.5)
     return gr.label_communities(pairs.select(F.col("a").cast("string").alias("origen"), F.col("b").cast("string").alias("destino"), F.col("similitud").alias("peso")))
 
 

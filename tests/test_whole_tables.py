@@ -113,3 +113,12 @@ def test_events_of_whole_posts(spark):
     t = Small(spark, conversations=([(1, 0, "user", text), (1, 1, "assistant", "garden")], "conv_id long, turn int, role string, text string"))
     assert sorted((r.post_id, r.i, r.tipo, r.foria) for r in t.post_events().collect()) == [("1:0", 30, "f", "disforico"), ("1:0", 131, "g", "disforico"), ("1:0", 132, "w", "disforico"), ("1:1", 0, "g", "disforico")]
     assert {r.post_id: r.foria for r in groups.agg_mode_foria_by_post(t).collect()} == {"1:0": "disforico", "1:1": "disforico"}
+
+
+def test_similar_parts_of_a_hot_brand(spark):
+    # four of 40 parts, a tenth, share a brand and nothing else
+    parts = [(k, "hot" if k <= 4 else f"b{k}", f"type{k}", k) for k in range(1, 41)]
+    t = Small(spark, part=(parts, "p_partkey long, p_brand string, p_type string, p_size int"))
+    want = {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+    assert {(r.a, r.b) for r in graphs.g_sim_pairs(t).collect()} == want
+    assert {r[0] for r in graphs.g_sim_groups(t).select("nodo").collect()} == {"1", "2", "3", "4"}
