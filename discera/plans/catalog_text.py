@@ -228,7 +228,7 @@ def src_csv_docs(t):
 
 @query("SELECT doc_id::VARCHAR AS codigo, md5(text) AS h FROM documents WHERE doc_id < 50")
 def src_json_docs(t):
-    rows = t.documents.select(F.expr("doc_id div 50").alias("g"), F.col("doc_id").cast("string").alias("codigo"), F.col("text").alias("contenido"))
+    rows = t.documents.select(F.expr("doc_id div 500 * 2 + doc_id % 2").alias("g"), F.col("doc_id").cast("string").alias("codigo"), F.col("text").alias("contenido"))
     one = rows.groupBy("g").agg(F.when(F.col("g") % 2 == 0, F.to_json(F.collect_list(F.struct("codigo", "contenido")))).otherwise(F.to_json(F.map_from_entries(F.collect_list(F.struct("codigo", F.struct("contenido")))))).alias("value"))
     path = new_folder(t.spark)
     one.select("value").write.option("maxRecordsPerFile", 1).text(path)  # each file is one JSON value

@@ -9,6 +9,7 @@ import pytest
 from discera.plans import catalog_files as files
 from discera.plans import catalog_graph as graphs
 from discera.plans import catalog_groups as groups
+from discera.plans import catalog_text as texts
 from discera.plans.catalog import QUERIES
 from discera.plans.views import Tables
 
@@ -122,3 +123,14 @@ def test_similar_parts_of_a_hot_brand(spark):
     want = {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
     assert {(r.a, r.b) for r in graphs.g_sim_pairs(t).collect()} == want
     assert {r[0] for r in graphs.g_sim_groups(t).select("nodo").collect()} == {"1", "2", "3", "4"}
+
+
+def test_rows_of_great_ids(spark):
+    talk = [(900, 0, "User", "over the end"), (900, 1, "assistant", "x")]
+    t = Small(spark, conversations=(talk, "conv_id long, turn int, role string, text string"), pages=([(900, "http://a/b")], "page_id long, url string"), events=(_events(4, user=900), EVENTS))
+    got = {f.__name__: f(t).collect() for f in (texts.src_connectors, texts.src_api_v2_map, texts.parse_feeds, files.sink_csv_units, files.join_golden_pred)}
+    assert [r.id for r in got["src_connectors"]] == ["900:0"]
+    assert sorted((r.id, r.autor) for r in got["src_api_v2_map"]) == [("900:0", "user"), ("900:1", "assistant")]
+    assert [(r.url, r.fecha) for r in got["parse_feeds"]] == [("http://a/b", "2024-01-05")]
+    assert sorted((r.codigo, r.frase_idx) for r in got["sink_csv_units"]) == [("900", str(i)) for i in range(4)]
+    assert sorted((r.i, r.j) for r in got["join_golden_pred"]) == [(i, j) for i in range(3) for j in range(3)] + [(3, 3)]
