@@ -54,7 +54,7 @@ def _rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def _ranks(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """edges: a, b, w; seeds: h, s. Returns h, r after so many rounds; mass that finds no edge goes back to the seeds."""
+    """edges: a, b, w; seeds: h, s. Returns h, r after exactly so many rounds; mass that finds no edge is dropped."""
     total = seeds.agg(F.sum("s")).first()[0] or 0
     if not total:
         return seeds.select("h", F.lit(0.0).alias("r")).where("false")
