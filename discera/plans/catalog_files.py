@@ -98,14 +98,14 @@ def sink_append_dedup_csv(t):
     return _appended(t, "csv")
 
 
-@query("SELECT event_id::VARCHAR AS event_id, props::JSON ->> 'k' AS carac__k FROM events WHERE event_id < 300")
+@query("SELECT event_id::VARCHAR AS event_id, props::JSON ->> 'k' AS carac__k FROM events")
 def sink_csv_docs(t):
     path = new_folder(t.spark)
     rd.write_csv(st.flatten(t.events.select("event_id", "props"), "props", "carac", ["k"]), path)
     return rd.read_csv(t.spark, path)
 
 
-@query(f"WITH {EVENTS} SELECT codigo::VARCHAR AS codigo, frase_idx::VARCHAR AS frase_idx, props AS payload FROM ev WHERE codigo < 20")
+@query(f"WITH {EVENTS} SELECT codigo::VARCHAR AS codigo, frase_idx::VARCHAR AS frase_idx, props AS payload FROM ev")
 def sink_csv_units(t):
     path = new_folder(t.spark)
     rd.write_csv(t.events_view().select("codigo", "frase_idx", F.col("props").alias("payload")), path)
@@ -143,7 +143,7 @@ def sink_golden_jsonl(t):
     return t.spark.read.schema("doc_id long, quality int").json(path)
 
 
-@query(f"WITH {EVENTS} SELECT a.codigo, a.frase_idx AS i, b.frase_idx AS j, a.tipo_emocion = b.tipo_emocion AS mismo FROM ev a JOIN ev b ON a.codigo = b.codigo AND a.frase_idx // 3 = b.frase_idx // 3 WHERE a.codigo < 40")
+@query(f"WITH {EVENTS} SELECT a.codigo, a.frase_idx AS i, b.frase_idx AS j, a.tipo_emocion = b.tipo_emocion AS mismo FROM ev a JOIN ev b ON a.codigo = b.codigo AND a.frase_idx // 3 = b.frase_idx // 3")
 def join_golden_pred(t):
     e = t.events_view().select("codigo", F.expr("frase_idx div 3").alias("u"), "frase_idx", "tipo_emocion")
     g, p = e.withColumnsRenamed({"frase_idx": "i", "tipo_emocion": "x"}), e.withColumnsRenamed({"frase_idx": "j", "tipo_emocion": "y"})
@@ -155,7 +155,7 @@ def fn_jaccard(t):
     return t.part.select("p_partkey", fx.jaccard(F.split("p_name", " "), F.split("p_type", " ")).alias("v"))
 
 
-@query("SELECT event_id, (['risa', 'alargamiento', 'puntuacion', ''])[(event_id % 4 + 1)::INT] AS clase FROM events WHERE event_id < 400")
+@query("SELECT event_id, (['risa', 'alargamiento', 'puntuacion', ''])[(event_id % 4 + 1)::INT] AS clase FROM events")
 def ext_typo(t):
     text = F.element_at(F.array(*map(F.lit, ("jajaja sí", "holaaaa sí", "qué?! sí", "nada sí"))), (F.col("event_id") % 4 + 1).cast("int"))
     return t.events.select("event_id", F.coalesce(F.get(sp.spans(text), F.lit(0))["extra"], F.lit("")).alias("clase"))
@@ -195,7 +195,7 @@ def inc_pending(t):
     return fl.pending(rows.withColumn("payload", F.when(F.col("k") % 10 == 7, F.col("payload")).otherwise(F.col("payload"))), "payload", "error").where("k % 10 = 3").agg(F.count(F.lit(1)).alias("pendientes"))
 
 
-@query("SELECT conv_id || ':' || turn AS id FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS r FROM conversations WHERE conv_id < 5 AND text IS NOT NULL) WHERE r <= 7")
+@query("SELECT conv_id || ':' || turn AS id FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS r FROM conversations WHERE text IS NOT NULL) WHERE r <= 7")
 def inc_cursor(t):
     """Pages of an archive up to max_items."""
     import pandas as pd

@@ -16,7 +16,7 @@ from discera.plans.views import EVENTS, POSTS
 
 # graphs -------------------------------------------------------------------------
 
-EDGES = "e AS (SELECT c_nationkey::VARCHAR AS origen, s_nationkey::VARCHAR AS destino, count(*)::DOUBLE AS peso FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 50 = 0 GROUP BY ALL)"
+EDGES = "e AS (SELECT c_nationkey::VARCHAR AS origen, s_nationkey::VARCHAR AS destino, count(*)::DOUBLE AS peso FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)"
 
 
 def _edges(t):
@@ -91,10 +91,12 @@ def topk_nodes(t):
     return e.join(F.broadcast(top.withColumnRenamed("nodo", "origen")), "origen", "left_semi").join(F.broadcast(top.withColumnRenamed("nodo", "destino")), "destino", "left_semi")  # 12 rows
 
 
-_LINKS = "l AS (SELECT l_orderkey AS a, l_partkey + 100000000 AS b FROM lineitem WHERE l_orderkey % 40 = 0)"
+_LINKS = "l AS (SELECT l_orderkey AS a, l_partkey + 100000000 AS b FROM lineitem)"
 
 
-@query(f"WITH RECURSIVE {_LINKS}, s AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT DISTINCT a AS nodo, a AS otro FROM s UNION SELECT r.nodo, s.b FROM r JOIN s ON s.a = r.otro) SELECT nodo, min(otro) AS componente FROM r GROUP BY nodo")
+@query(f"""WITH RECURSIVE {_LINKS}, s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(nodo, componente) USING KEY (nodo) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, min(r.componente) FROM r JOIN s ON s.a = r.nodo JOIN recurring.r AS x ON x.nodo = s.b WHERE r.componente < x.componente GROUP BY s.b)
+SELECT nodo, componente FROM r""")
 def g_components(t):
     return gr.components(t.lineitem.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b"))).select("nodo", "componente")
 
@@ -148,7 +150,7 @@ def g_cliques(t):
 
 _SIM = """f AS (SELECT p_partkey AS k, [p_brand] AS marca, list_distinct(string_split(p_type, ' ')) AS tipo, [p_size::VARCHAR] AS talla FROM part),
 t AS (SELECT k, 'marca=' || unnest(marca) AS v FROM f UNION SELECT k, 'tipo=' || unnest(tipo) FROM f UNION SELECT k, 'talla=' || unnest(talla) FROM f),
-ok AS (SELECT v FROM t GROUP BY v HAVING count(*) BETWEEN 2 AND (SELECT greatest(floor(count(*) * 0.05), 2) FROM f)),
+ok AS (SELECT v FROM t GROUP BY v HAVING count(*) BETWEEN 2 AND (SELECT greatest(floor(count(*) * 0.25), 2) FROM f)),
 c AS (SELECT DISTINCT x.k AS a, y.k AS b FROM t x JOIN t y ON x.v = y.v AND x.k < y.k WHERE x.v IN (SELECT v FROM ok)),
 j AS (SELECT a, b, (2 * (p.marca = q.marca)::INT + 1.0 * len(list_intersect(p.tipo, q.tipo)) / len(list_distinct(list_concat(p.tipo, q.tipo)))::DOUBLE + (p.talla = q.talla)::INT) / 4.0::DOUBLE AS s,
 concat_ws(', ', CASE WHEN p.marca = q.marca THEN 'marca' END, CASE WHEN len(list_intersect(p.tipo, q.tipo)) > 0 THEN 'tipo' END, CASE WHEN p.talla = q.talla THEN 'talla' END) AS compartidos FROM c JOIN f p ON p.k = a JOIN f q ON q.k = b)"""
@@ -219,7 +221,7 @@ def er_seed_handles(t):
     return st.upsert_status(ids, seeds, ["id"])
 
 
-@query("""WITH RECURSIVE w AS (SELECT p_partkey AS k, p_brand AS d, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 1)) AS w, lower(p_name) AS n FROM part WHERE p_partkey <= 400),
+@query("""WITH RECURSIVE w AS (SELECT p_partkey AS k, p_brand AS d, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 1)) AS w, lower(p_name) AS n FROM part),
 l AS (SELECT a.k AS a, b.k AS b FROM w a JOIN w b ON a.d = b.d AND a.k <> b.k WHERE a.n = b.n OR (len(list_intersect(a.w, b.w)) = least(len(a.w), len(b.w)) AND least(len(a.w), len(b.w)) >= 2) OR len(list_intersect(a.w, b.w)) >= 3),
 r AS (SELECT k, k AS o FROM w UNION SELECT r.k, l.b FROM r JOIN l ON l.a = r.o) SELECT k AS p_partkey, min(o) AS grupo FROM r GROUP BY k""")
 def er_coref(t):
@@ -293,7 +295,7 @@ def er_merge_suggest(t):
     return rs.merge_suggestions(n)
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber::BIGINT AS idx, l_returnflag AS v, l_linestatus FROM lineitem WHERE l_orderkey % 20 = 0),
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber::BIGINT AS idx, l_returnflag AS v, l_linestatus FROM lineitem),
 e AS (SELECT l_orderkey, idx, unnest(CASE WHEN v = 'R' THEN ['a', 'b'] ELSE ['a'] END) AS quien, unnest(CASE WHEN v = 'R' THEN [0, 1] ELSE [0] END) AS i, l_linestatus, max(idx) OVER (PARTITION BY l_orderkey) AS top FROM x)
 SELECT l_orderkey, CASE WHEN i = 1 THEN top + sum(i) OVER (PARTITION BY l_orderkey ORDER BY idx, i ROWS UNBOUNDED PRECEDING) ELSE idx END::BIGINT AS idx, quien, CASE WHEN i = 0 THEN l_linestatus END AS payload FROM e""")
 def er_split_event(t):

@@ -386,7 +386,7 @@ def win_session(t):
 # top-k and sets ------------------------------------------------------------------
 
 
-@query("SELECT doc_id, toxic FROM documents LEFT JOIN labels USING (doc_id) ORDER BY toxic NULLS LAST, doc_id LIMIT 50")
+@query("SELECT doc_id, toxic FROM documents LEFT JOIN labels USING (doc_id) ORDER BY toxic NULLS LAST, doc_id")
 def sort_nulls_last(t):
     return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "toxic").orderBy(F.asc_nulls_last("toxic"), "doc_id")
 

@@ -157,7 +157,7 @@ def parse_html_links(t):
     return t.pages.select("page_id", F.size(ht.links(F.col("html"))).cast("long").alias("n"))
 
 
-@query("SELECT url, strftime(DATE '2024-01-01' + (page_id % 28)::INT, '%Y-%m-%d') AS fecha FROM pages WHERE page_id < 100")
+@query("SELECT url, strftime(DATE '2024-01-01' + (page_id % 28)::INT, '%Y-%m-%d') AS fecha FROM pages")
 def parse_feeds(t):
     p = t.pages.select("url", F.expr("date_add(date'2024-01-01', int(page_id % 28))").alias("fecha"))
     entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>"), F.col("fecha").cast("string"), F.lit("T00:00:00Z</lastmod></url>"))
@@ -204,7 +204,7 @@ def src_jsonl_mixed(t):
     return rd.posts_mixed(lines).select("post_id", "autor_handle", "tipo")
 
 
-@query("SELECT conv_id || ':' || turn AS id, lower(role) AS autor FROM conversations WHERE conv_id < 20")
+@query("SELECT conv_id || ':' || turn AS id, lower(role) AS autor FROM conversations")
 def src_api_v2_map(t):
     ref = F.lit(None).cast("array<struct<type:string,id:string>>")
     tweet = F.struct(F.col("post_id").alias("id"), F.col("texto").alias("text"), F.lit("7").alias("author_id"), ref.alias("referenced_tweets"))
@@ -226,7 +226,7 @@ def src_csv_docs(t):
     return rd.documents_csv(t.spark, path).select("codigo", F.md5("contenido").alias("h"))
 
 
-@query("SELECT doc_id::VARCHAR AS codigo, md5(text) AS h FROM documents WHERE doc_id < 50")
+@query("SELECT doc_id::VARCHAR AS codigo, md5(text) AS h FROM documents")
 def src_json_docs(t):
     rows = t.documents.select(F.expr("doc_id div 500 * 2 + doc_id % 2").alias("g"), F.col("doc_id").cast("string").alias("codigo"), F.col("text").alias("contenido"))
     one = rows.groupBy("g").agg(F.when(F.col("g") % 2 == 0, F.to_json(F.collect_list(F.struct("codigo", "contenido")))).otherwise(F.to_json(F.map_from_entries(F.collect_list(F.struct("codigo", F.struct("contenido")))))).alias("value"))
@@ -247,7 +247,7 @@ def src_csv_posts(t):
     return rd.normalize_posts(rd.posts_csv(t.spark, path)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("autor_handle").alias("autores"))
 
 
-@query("SELECT conv_id || ':' || turn AS id, role AS autor_handle FROM conversations WHERE contains(lower(text), 'the') AND conv_id < 30")
+@query("SELECT conv_id || ':' || turn AS id, role AS autor_handle FROM conversations WHERE contains(lower(text), 'the')")
 def src_connectors(t):
     from discera.sources.connector import MemoryPlatform, pages
 

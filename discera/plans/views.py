@@ -56,6 +56,6 @@ POST_EVENTS = (
     POSTS
     + """, pe AS (
   SELECT post_id, i, w[1:1] AS tipo, ['euforico', 'disforico', 'aforico', 'ambiforico', 'indeterminado'][length(w) % 5 + 1] AS foria
-  FROM (SELECT post_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT post_id, regexp_extract_all(lower(texto), '[a-z]{4,}')[1:12] AS ws FROM posts))
+  FROM (SELECT post_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT post_id, regexp_extract_all(lower(texto), '[a-z]{4,}') AS ws FROM posts))
   WHERE length(w) % 3 = 0)"""
 )
