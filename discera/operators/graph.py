@@ -286,21 +286,66 @@ def cliques(graph: DataFrame, by: str = "grafo", least: int = 3) -> DataFrame:
     return graph.groupBy(by).applyInPandas(run, f"{by} string, orden long, nodos string")
 
 
-def similarity_pairs(df: DataFrame, key: str, weights: dict[str, float], least: float = 0.5, max_share: float = 0.25) -> DataFrame:
-    """Pairs a < b by the weighted mean Jaccard of their components (array columns); components empty on both sides do not count. Candidates share a value that at most max(max_share * n, 2) rows have."""
-    from discera.operators.joins import block_pairs
-
-    n = df.count()
-    tagged = F.flatten(F.array(*(F.transform(c, lambda v, c=c: F.concat_ws("=", F.lit(c), v)) for c in weights)))
-    pairs = block_pairs(df.withColumn("__t", tagged), key, "__t", max(int(n * max_share), 2))
-    side = lambda s: df.select(F.col(key).alias(s), *(F.col(c).alias(f"{s}_{c}") for c in weights))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    union = {c: F.size(F.array_union(f"a_{c}", f"b_{c}")) for c in weights}
-    shared = {c: F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in weights}
-    top = sum((F.when(union[c] > 0, w * shared[c] / union[c]).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
-    base = sum((F.when(union[c] > 0, F.lit(w)).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
-    common = F.concat_ws(", ", *(F.when(shared[c] > 0, c) for c in weights))
-    return both.select("a", "b", F.try_divide(top, base).alias("s"), common.alias("compartidos")).where(F.col("s") >= least).select("a", "b", F.round("s", 4).alias("similitud"), "compartidos")
+GROUP = 4096
+
+
+def _common(a: str, b: str) -> Column:
+    """The number of values in both arrays; single values, the usual case, are compared without a hash set."""
+    one = F.when(F.get(a, F.lit(0)) == F.get(b, F.lit(0)), 1).otherwise(0)
+    return F.when((F.size(a) <= 1) & (F.size(b) <= 1), one).otherwise(F.size(F.array_intersect(a, b)))
+
+
+def similarity_pairs(df: DataFrame, key: str, weights: dict[str, float], least: float = 0.5, max_share: float | None = 0.25) -> DataFrame:
+    """Pairs a < b by the weighted mean Jaccard of their components (array columns); components empty on both sides do not count.
+
+    Candidates share a value that at most max(max_share * n, 2) rows have: a rule of the measure, under which
+    the share of a value decides, not the number of rows; with max_share None every value proposes, and the
+    result is that of all pairs. Values meet in the order of their components, the one with the fewest pairs
+    first. A row needs only those of its leading components without which the rest, by weight, stays below
+    `least`: a pair that reaches it has its first common value among these on both sides, and is looked at there, once.
+    Null values and null components count as absent; rows without a key take no part.
+    """
+    whole = lambda c: F.array_distinct(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: v.isNotNull()))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *(F.transform(whole(c), lambda v: v.cast("string")).alias(f"c{i}") for i, c in enumerate(weights)))
+    rows = saved(rows)
+    n = rows.count()
+    counts = saved(rows.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("vs")) for i in range(len(weights))))).alias("x")).select("x.i", F.explode("x.vs").alias("v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
+    common: list[set[str]] = [set() for _ in weights]
+    if max_share is not None:  # at most the mean number of values of a row, divided by max_share
+        for r in counts.where(F.col("n") > max(int(n * max_share), 2)).collect():
+            common[r.i].add(r.v)
+    proposing = counts.where(F.col("n") <= max(int(n * max_share), 2)) if max_share is not None else counts
+    cost = {r.i: r.p for r in proposing.groupBy("i").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("p")).collect()}
+    order = sorted(range(len(weights)), key=lambda i: (cost.get(i, 0.0), i))
+    w = list(weights.values())
+
+    has = lambda i: F.size(f"c{i}") > 0
+    named = lambda i: F.transform(f"c{i}", lambda v: F.concat(F.lit(f"{order.index(i):04d}="), v))
+    total = sum((F.when(has(i), F.lit(float(w[i]))).otherwise(0.0) for i in range(len(w))), F.lit(0.0))
+    tokens, passed = F.array().cast("array<string>"), F.lit(0.0)
+    for at, i in enumerate(order):
+        # what the values met so far can no longer bring, were none of them common to a pair
+        rest = sum((F.when(has(j), F.lit(float(w[j]))).otherwise(0.0) for j in order[at:]), F.lit(0.0)) + passed
+        off = sorted(common[i])
+        fit = F.filter(named(i), lambda v, off=off, at=at: ~v.isin([f"{at:04d}={x}" for x in off])) if off else named(i)
+        tokens = F.when(rest >= F.lit(least) * total - 1e-9, F.concat(tokens, F.array_sort(fit))).otherwise(tokens)
+        if off:
+            passed = passed + F.when(F.arrays_overlap(f"c{i}", F.array(*map(F.lit, off))), F.lit(float(w[i]))).otherwise(0.0)
+    # a value's rows meet in tiles: GROUP of one side, dealt by key, with all of the other
+    groups = counts.select(F.concat(F.element_at(F.array(*(F.lit(f"{order.index(i):04d}=") for i in range(len(w)))), F.col("i") + 1), "v").alias("t"), F.ceil(F.col("n") / GROUP).cast("int").alias("groups")).where(F.col("n") > 1)
+    spread = rows.withColumn("ts", tokens).select(*rows.columns, "ts", F.posexplode("ts").alias("at", "t"))
+    sides = split_join(spread, groups, ["t"]).withColumn("ts", F.slice("ts", F.lit(1), F.col("at"))).drop("at")  # the values before this one
+    side = lambda s: ("t", "g", *(F.col(c).alias(f"{s}_{c}") for c in (*rows.columns, "ts")))
+    parts = int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sum(cost.values()) / 1e6, 1e5)))
+    left = sides.withColumn("g", F.pmod(F.xxhash64("k"), F.col("groups")).cast("int")).repartition(parts, "t", "g").select(*side("a"))
+    right = sides.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(*side("b"))
+    both = left.join(right, ["t", "g"]).where((F.col("a_k") < F.col("b_k")) & (_common("a_ts", "b_ts") == 0))
+    both = both.select(F.col("a_k").alias("a"), F.col("b_k").alias("b"), *(_common(f"a_c{i}", f"b_c{i}").alias(f"s{i}") for i in range(len(w))), *((F.size(f"a_c{i}") + F.size(f"b_c{i}")).alias(f"n{i}") for i in range(len(w))))
+    top = sum((F.when(F.col(f"n{i}") > 0, w[i] * F.col(f"s{i}") / (F.col(f"n{i}") - F.col(f"s{i}"))).otherwise(0.0) for i in range(len(w))), F.lit(0.0))
+    base = sum((F.when(F.col(f"n{i}") > 0, F.lit(float(w[i]))).otherwise(0.0) for i in range(len(w))), F.lit(0.0))
+    shared = F.concat_ws(", ", *(F.when(F.col(f"s{i}") > 0, c) for i, c in enumerate(weights)))
+    scored = both.withColumn("s", F.try_divide(top, base)).where(F.col("s") >= least)
+    return scored.select("a", "b", F.round("s", 4).alias("similitud"), shared.alias("compartidos"))
 
 
 def topological(stages: dict[str, list[str]]) -> list[str]:

@@ -24,12 +24,21 @@ def containment(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str
     return left.join(right, on).where(F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))
 
 
-def block_pairs(df: DataFrame, key: str, block: str, max_block: int) -> DataFrame:
-    """Candidate pairs a < b that share a value of the array column block; values of more than max_block keys are too common to say anything (a rule of the operator, not a cap on work)."""
-    rows = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(block)).alias("t"))
-    fit = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= max_block)).select("t")
-    rows = split_join(rows, fit, ["t"])
-    return rows.alias("x").join(rows.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+def block_pairs(df: DataFrame, key: str, block: str, max_block: int | None = None) -> DataFrame:
+    """Candidate pairs a < b that share a value of the array column block, each once: at its first common value.
+
+    With max_block, values of more keys are too common to say anything and propose nothing: a rule of blocking, stated
+    as a number of keys. Without it, all values propose and the pairs are all that share one.
+    """
+    rows = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(F.filter(block, lambda v: v.isNotNull()))).alias("ts"))
+    met = rows.select("k", F.explode("ts").alias("t"))
+    counts = met.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    if max_block is not None:
+        counts = counts.where(F.col("n") <= max_block)
+    fit = split_join(met, counts.select("t"), ["t"])
+    sides = fit.groupBy("k").agg(F.array_sort(F.collect_list("t")).alias("ts")).select("k", "ts", F.explode("ts").alias("t"))
+    x, y = sides.select("t", F.col("k").alias("a"), F.col("ts").alias("xs")), sides.select("t", F.col("k").alias("b"), F.col("ts").alias("ys"))
+    return x.join(y, "t").where((F.col("a") < F.col("b")) & (F.get(F.array_intersect("xs", "ys"), F.lit(0)) == F.col("t"))).select("a", "b")
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
