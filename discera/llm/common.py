@@ -26,10 +26,35 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def own(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns named by their places, so that no name of the caller's can meet one of the operators', and what the given columns are called there. `restored` gives the names back."""
+    exact = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
+    loose = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))}
+    return docs.toDF(*(f"o{i}_" for i in range(len(docs.columns)))), [f"o{exact.get(n, loose.get(n.lower()))}_" for n in names]
+
+
+def added_names(columns: list[str], names: list[str]) -> list[str]:
+    """The names that added columns get: their own, with underscores at the end where the table already has one so called."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def restored(df: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The caller's columns of a frame that `own` has named, under their names, then the added ones."""
+    return df.select(*(F.col(f"o{i}_").alias(c) for i, c in enumerate(columns)), *(F.col(a).alias(n) for a, n in zip(added, added_names(columns, list(added)), strict=True)))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (as in local tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset and the master is local (as in tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="discera-"))
         folder = _own[0]
@@ -45,12 +70,23 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> int:
-    """Deletes the tables that operators of this session have written to the shared folder, and returns their number. For when all results that rest on them have been written."""
+def written() -> int:
+    """How many tables of the shared folder operators have written that are not forgotten; a mark for `forget`."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes the tables that operators of this session have written to the shared folder (from the mark on, but for the one that keep reads), and returns their number. For when all results that rest on them have been written."""
     context, n = spark.sparkContext, 0
-    while _written:
-        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    kept = keep.inputFiles() if keep is not None else []
+    left = []
+    for place in _written[since:]:
+        if any(place.rsplit("/", 1)[1] in f for f in kept):
+            left.append(place)
+            continue
+        path = context._jvm.org.apache.hadoop.fs.Path(place)
         n += bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))
+    _written[since:] = left
     return n
 
 

@@ -5,14 +5,17 @@ carriage return) at both ends, A-Z lowered. Keys of at least `min_chars` code po
 stand in at least `min_docs` documents lose their lines everywhere but in the smallest
 doc_id that has them; there all its lines stay.
 
-What is shuffled of a line is two 64-bit hashes and its document, never its text, and the
-lines of a key are combined before the shuffle (for min_docs = 2 to the smallest and largest
-doc_id), so a line in a third of all documents costs one row for each task. A document's
-lines are put together from its own text; no group of lines is ever gathered.
+What is shuffled of a line is two 64-bit hashes, its document and its place, never its text,
+and the lines of a key are combined before the shuffle (for min_docs = 2 to the smallest and
+largest doc_id), so a line in a third of all documents costs one row for each task. Dropped
+places come back to their document, whose own text is put together by position; no group of
+lines is ever gathered. A document takes time in proportion to its lines.
 
 Defined cases: a null or empty text is one empty line and stays as it is; a key counts once
-per doc_id, so rows that repeat a doc_id never shadow each other; a row with a null doc_id
-counts nowhere and keeps all its lines; further columns are carried along unchanged.
+per doc_id, so rows that repeat a doc_id never shadow each other (they are told apart by a
+hash of their text; equal ones lose the same lines); a row with a null doc_id counts nowhere
+and keeps all its lines; empty tables give empty results; further columns are carried along
+unchanged, and added columns whose names the table has already get underscores at the end.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join
+from .common import own, restored, split_join
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,47 +33,48 @@ def key_of(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def _hashed(lines: Column, min_chars: int) -> Column:
-    """For each line a struct of two hashes, null for keys that are too short."""
-    keys = F.transform(lines, key_of)
-    return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.reverse(k), k).alias("b"))))
-
-
-def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """docs with ld_lines, ld_dropped (long) and ld_text (the lines that stay, joined by newlines)."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    rows = (
-        docs.where(F.col(doc_id).isNotNull() & (F.char_length(text) >= min_chars))
-        .select(F.col(doc_id).alias("d"), F.explode(F.array_distinct(_hashed(lines, min_chars))).alias("h"))
-        .where("h is not null and d is not null")
-        .select("d", "h.a", "h.b")
-    )
+def _gone(docs: DataFrame, text: Column, doc_id: Column, min_chars: int, min_docs: int) -> DataFrame:
+    """d, v (doc_id and hash of a text) and ld_gone: the places of its lines that go, ascending."""
+    split = docs.where(doc_id.isNotNull() & (F.char_length(text) >= min_chars)).select(doc_id.alias("d"), F.xxhash64(text).alias("v"), F.split(text, "\n", -1).alias("ls"))
+    lines = split.select("d", "v", F.posexplode("ls").alias("i", "l"))  # the text is not copied to each line
+    keyed = lines.select("d", "v", "i", key_of(F.col("l")).alias("k")).where(F.char_length("k") >= min_chars)
+    rows = keyed.select("d", "v", "i", F.xxhash64("k").alias("a"), F.xxhash64(F.reverse("k"), "k").alias("b"))
     if min_docs == 2:
         held = rows.groupBy("a", "b").agg(F.min("d").alias("keep"), F.max("d").alias("last")).where("keep < last").drop("last")
     else:
-        held = rows.distinct().groupBy("a", "b").agg(F.min("d").alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).drop("n")
-    gone = (
-        split_join(rows, held, ["a", "b"])
-        .where("d > keep")
-        .groupBy("d")
-        .agg(F.collect_set(F.struct("a", "b")).alias("ld_gone"))
-        .withColumnRenamed("d", "ld_doc")
-    )
-    stay = F.filter(F.arrays_zip(lines.alias("l"), _hashed(lines, min_chars).alias("h")), lambda x: F.coalesce(~F.array_contains(F.col("ld_gone"), x["h"]), F.lit(True)))
-    kept = F.transform(F.when(F.col("ld_gone").isNotNull(), stay), lambda x: x["l"])
-    out = docs.join(gone, docs[doc_id] == gone["ld_doc"], "left").withColumn("ld_kept", kept)
+        held = rows.select("a", "b", "d").distinct().groupBy("a", "b").agg(F.min("d").alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).drop("n")
+    return split_join(rows, held, ["a", "b"]).where("d > keep").groupBy("d", "v").agg(F.sort_array(F.collect_set("i")).alias("ld_gone"))
+
+
+def _annotated(docs: DataFrame, text: str, doc_id: str, min_chars: int, min_docs: int) -> DataFrame:
+    """docs, named by `own`, with ld_lines, ld_dropped and ld_text."""
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    gone = _gone(docs, F.col(text), F.col(doc_id), min_chars, min_docs)
+    out = docs.join(gone, (F.col(doc_id) == F.col("d")) & (F.xxhash64(text) == F.col("v")), "left")
+    # which lines stay: up to each dropped place those since the one before it, and those after the last
+    before = F.concat(F.array(F.lit(-1)), F.slice("ld_gone", 1, F.size("ld_gone") - 1))
+    runs = F.flatten(F.zip_with("ld_gone", before, lambda i, p: F.concat(F.array_repeat(F.lit(True), i - p - 1), F.array(F.lit(False)))))
+    stays = F.concat(runs, F.array_repeat(F.lit(True), F.size(lines) - 1 - F.element_at("ld_gone", -1)))
+    kept = F.array_join(F.zip_with(lines, stays, lambda line, s: F.when(s, line)), "\n")  # leaves out nulls
     return out.select(
-        *(F.col(c) for c in docs.columns),
+        *docs.columns,
         F.size(lines).cast("long").alias("ld_lines"),
-        F.coalesce((F.size(lines) - F.size("ld_kept")).cast("long"), F.lit(0).cast("long")).alias("ld_dropped"),
-        F.when(F.col("ld_kept").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join("ld_kept", "\n")).alias("ld_text"),
+        F.coalesce(F.size("ld_gone"), F.lit(0)).cast("long").alias("ld_dropped"),
+        F.when(F.col("ld_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept).alias("ld_text"),
     )
 
 
-def clean(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """docs with ld_lines, ld_dropped (long) and ld_text (the lines that stay, joined by newlines)."""
+    df, (t, d) = own(docs, text, doc_id)
+    return restored(_annotated(df, t, d, min_chars, min_docs), docs.columns, "ld_lines", "ld_dropped", "ld_text")
+
+
+def clean(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """docs with repeated lines removed; a document of which nothing but white space is left, goes."""
-    df = annotate(docs, text, **options).where((F.col("ld_dropped") == 0) | (F.char_length(F.btrim(F.col("ld_text"), F.lit(SPACE))) > 0))
-    return df.select(*(F.when(F.col("ld_dropped") > 0, F.col("ld_text")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns))
+    df, (t, d) = own(docs, text, doc_id)
+    out = _annotated(df, t, d, min_chars, min_docs).where((F.col("ld_dropped") == 0) | (F.char_length(F.btrim(F.col("ld_text"), F.lit(SPACE))) > 0))
+    return restored(out.withColumn(t, F.when(F.col("ld_dropped") > 0, F.col("ld_text")).otherwise(F.col(t))), docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
