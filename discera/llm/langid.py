@@ -16,7 +16,10 @@ long document takes no more memory than its own words.
 Defined cases: a null text or one without any letter (by Unicode) is `und` with score 0 and no
 spans; ties go to the language that comes first by code point; without training rows every
 document is `und`; repeated documents are labelled one by one; empty tables give empty
-results; further columns are carried along unchanged.
+results; further columns are carried along unchanged, and added columns whose names the table
+has already get underscores at the end. Of more than `languages` values of lang, those with
+fewer training words are not learnt (ties: the first by code point); what is shuffled, collected
+and sent to the tasks is bounded by that, whatever stands in lang.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import map_arrow
+from .common import added_names, map_arrow, saved
 
 LETTERS = tk.Alphabet("letters", fold=True)
 CLASSES = 1 << 15
@@ -80,13 +83,14 @@ def _pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text, lang. At the end one row per language and class; scripts are classes from CLASSES on."""
-    total: dict[str, np.ndarray] = {}
+    """Columns text, lang. At the end one row per language and class that occurs; scripts are classes from CLASSES on."""
+    keys, sums, names = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+    size = CLASSES + N_SCRIPTS
     for b in batches:
         data, offsets = tk.utf8(b.column(0))
-        langs, lang = np.unique(np.array(b.column(1).to_pylist(), object).astype(str), return_inverse=True)
-        for name in langs.tolist():
-            total.setdefault(name, np.zeros(CLASSES + N_SCRIPTS, np.int64))
+        lang = np.array([names.setdefault(x, len(names)) for x in b.column(1).to_pylist()], np.int64)
+        found = [keys]
+        times = [sums]
         for lo, hi in tk.chunks(offsets):
             starts, ends, first = tk.words(data, offsets[lo : hi + 1], LETTERS)
             of = np.repeat(lang[lo:hi], np.diff(first))
@@ -95,13 +99,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base = int(starts[i])
                 inside = LETTERS.word[data[base : int(ends[j - 1])]]
                 owner = np.repeat(of[i:j], ends[i:j] - starts[i:j])
-                for k in np.unique(of[i:j]).tolist():
-                    t = total[langs[k]]
-                    t[:CLASSES] += np.bincount(g[inside][owner == k], minlength=CLASSES)
-                    t[CLASSES:] += np.bincount(script[of[i:j] == k], minlength=N_SCRIPTS)
-    for name, t in total.items():
-        at = np.flatnonzero(t)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(t[at])], ["lang", "c", "n"])
+                for x in (owner * size + g[inside], of[i:j] * size + CLASSES + script):
+                    u, n = np.unique(x, return_counts=True)
+                    found.append(u)
+                    times.append(n)
+        keys, at = np.unique(np.concatenate(found), return_inverse=True)
+        sums = np.bincount(at, np.concatenate(times), minlength=len(keys)).astype(np.int64)
+    lang = np.array(list(names), object)
+    for lo in range(0, len(keys), 1 << 16):
+        k = keys[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(lang[k // size], pa.string()), pa.array((k % size).astype(np.int32)), pa.array(sums[lo : lo + (1 << 16)])], ["lang", "c", "n"])
 
 
 class Model:
@@ -234,10 +241,17 @@ def _label(text_at: int, model: Model, penalty: float, spans: bool):
     return run
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", *, rare: float = RARE) -> Model:
+LANGUAGES = 256
+"""The most values of lang that are learnt; each is 130 kB of the model."""
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", *, rare: float = RARE, languages: int = LANGUAGES) -> Model:
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     counts = map_arrow(rows, _count, "lang string, c int, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
-    return Model(counts.toArrow(), rare)
+    counts = saved(counts)
+    words = counts.where(F.col("c") >= CLASSES).groupBy("lang").agg(F.sum("n").alias("w"))
+    top = words.orderBy(F.desc("w"), "lang").limit(languages).select("lang")
+    return Model(counts.join(F.broadcast(top), "lang").toArrow(), rare)  # at most `languages` rows
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", *, penalty: float = PENALTY, spans: bool = True, model: Model | None = None) -> DataFrame:
@@ -246,6 +260,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     more = [T.StructField("li_lang", T.StringType()), T.StructField("li_score", T.DoubleType())]
     if spans:
         more.append(T.StructField("li_spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.IntegerType()), T.StructField("words", T.IntegerType())]))))
+    more = [T.StructField(n, f.dataType) for n, f in zip(added_names(docs.columns, [f.name for f in more]), more, strict=True)]
     return map_arrow(docs, _label(docs.columns.index(text), model, penalty, spans), T.StructType([*docs.schema.fields, *more]))
 
 

@@ -4,17 +4,19 @@ A document's size is its number of words (runs of anything but white space). Sou
 code point order with null last, weigh `weights` in turn and share `share` times all sizes;
 a target stops at `most` times its source's size and what is over goes to the others by
 weight, until none is above. With rate = target / size of the source, each document is
-taken floor(rate) times, and once more where a hash of its id and the seed falls below the
-fraction; so reruns agree and no document is taken more than `most` times.
+taken floor(rate) times, and once more where a hash of its id, its text and the seed falls below
+the fraction; so reruns agree and no document is taken more than `most` times.
 
 Sizes are summed per source before the shuffle; what is joined back has one row for each
 source. The targets come from one pass over the sources ordered by limit / weight: the
 first ones reach their limits, and the rest share what remains by weight.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of
-its own; a null doc_id is hashed as an empty id; repeated rows are documents of their own
-with the same draw; a table without words has targets 0 and takes nothing; further columns
-are carried along unchanged.
+its own; a null doc_id is hashed as an empty id, a null text as an empty hash, so rows without
+an id draw by their texts; rows that repeat id and text are documents of their own with the same
+draw; a table without words has targets 0 and takes nothing; further columns
+are carried along unchanged, and added columns whose names the table has already get underscores
+at the end. The targets of all sources (one short row each) are computed in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import own, restored, saved
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEED = 1.5, 2, "mix-1"
@@ -51,28 +53,37 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: in
     return df.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("at") <= F.col("level")), F.col("cap")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def copies_of(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+def copies_of(rate: Column, doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """How often a document is taken at a rate."""
+    mark = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text), F.lit("")))
+    draw = F.conv(F.substring(F.md5(mark), 1, 13), 16, 10).cast("double") / float(1 << 52)
     return F.floor(rate).cast("long") + F.when(draw < rate - F.floor(rate), 1).otherwise(0).cast("long")
 
 
-def annotate(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, seed: str = SEED, **options) -> DataFrame:
-    """docs with mx_size, mx_source_size, mx_target and mx_copies."""
+def _annotated(docs: DataFrame, text: str, source: str, doc_id: str, seed: str, options: dict) -> DataFrame:
+    """docs, named by `own`, with mx_size, mx_source_size, mx_target and mx_copies."""
     sized = docs.withColumn("mx_size", size_of(F.col(text)))
     per = targets(sized.groupBy(F.col(source).alias("source")).agg(F.sum("mx_size").alias("source_size")), **options)
     per = per.select(F.col("source").alias("mx_source"), F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"))
     per = saved(per)
     few = per.count() <= MAX_BROADCAST
-    joined = sized.join(F.broadcast(per) if few else per, sized[source].eqNullSafe(per["mx_source"])).drop("mx_source")
+    joined = sized.join(F.broadcast(per) if few else per, F.col(source).eqNullSafe(F.col("mx_source"))).drop("mx_source")
     rate = F.coalesce(F.try_divide(F.col("mx_target"), F.col("mx_source_size").cast("double")), F.lit(0.0))
-    return joined.withColumn("mx_copies", copies_of(rate, F.col(doc_id), seed))
+    return joined.withColumn("mx_copies", copies_of(rate, F.col(doc_id), F.col(text), seed))
+
+
+def annotate(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, seed: str = SEED, **options) -> DataFrame:
+    """docs with mx_size, mx_source_size, mx_target and mx_copies."""
+    df, names = own(docs, text, source, doc_id)
+    return restored(_annotated(df, *names, seed, options), docs.columns, "mx_size", "mx_source_size", "mx_target", "mx_copies")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, seed: str = SEED, **options) -> DataFrame:
     """Each document as often as the mix takes it, with mix_copy counting its copies from 0."""
-    df = annotate(docs, **options).where("mx_copies > 0")
+    df, names = own(docs, text, source, doc_id)
+    taken = _annotated(df, *names, seed, options).where("mx_copies > 0")
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("mx_copies") - 1)).alias("mix_copy")
-    return df.select(*(F.col(c) for c in docs.columns), copy)
+    return restored(taken.select(*df.columns, copy), docs.columns, "mix_copy")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -82,7 +93,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 DIGEST_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(text) AS h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -97,7 +108,7 @@ target AS (
   FROM level, (SELECT max((total - full_before) / rest) FILTER ((total - full_before) / rest <= lim) AS l FROM level) m),
 rated AS (
   SELECT sized.*, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size::DOUBLE END AS rate,
-         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / (1::BIGINT << 52) AS draw
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(h, '')), 1, 13))::BIGINT::DOUBLE / (1::BIGINT << 52) AS draw
   FROM sized JOIN target ON sized.source IS NOT DISTINCT FROM target.source)
 SELECT doc_id, size, source_size, target,
        size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken

@@ -30,7 +30,8 @@ the rows; joins on shingles are plain equi-joins which adaptive execution splits
 Defined cases: null or empty text has size 0 and is a component of its own; rows that
 repeat a doc_id are documents of their own, and a null doc_id never becomes a component
 id while the component has another; ties go to the smallest doc_id; empty tables give
-empty results; further columns are carried along.
+empty results; further columns are carried along unchanged, and added columns whose names
+the table has already get underscores at the end.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, likely_in, map_arrow, row_key, saved, split_join
+from .common import components, likely_in, map_arrow, own, restored, row_key, saved, split_join
 
 K, PERCENT = 5, 75
 SPACE = tk.Alphabet("space", fold=True)
@@ -167,13 +168,14 @@ def roots(docs: DataFrame, key: Column, text: str = "text", *, k: int = K, perce
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with nj_size and nj_component (long)."""
-    key, by_id = row_key(docs, doc_id, text)
-    result = roots(docs, key, text, **options)
-    out = docs.withColumn("nj_row", key).join(result, F.col("nj_row") == F.col("nj_key"), "left")
+    df, (text, doc_id) = own(docs, text, doc_id)
+    key, by_id = row_key(df, doc_id, text)
+    result = roots(df, key, text, **options)
+    out = df.withColumn("nj_row", key).join(result, F.col("nj_row") == F.col("nj_key"), "left")
     if by_id:
-        return out.select(*(F.col(c) for c in docs.columns), "nj_size", F.col("nj_root").alias("nj_component"))
-    names = docs.select(key.alias("k"), F.col(doc_id).alias("d")).join(result, F.col("k") == F.col("nj_key")).groupBy(F.col("nj_root").alias("nj_r")).agg(F.min("d").alias("nj_component"))
-    return out.join(names, F.col("nj_root") == F.col("nj_r")).select(*(F.col(c) for c in docs.columns), "nj_size", "nj_component")
+        return restored(out.withColumn("nj_component", F.col("nj_root")), docs.columns, "nj_size", "nj_component")
+    names = df.select(key.alias("k"), F.col(doc_id).alias("d")).join(result, F.col("k") == F.col("nj_key")).groupBy(F.col("nj_root").alias("nj_r")).agg(F.min("d").alias("nj_component"))
+    return restored(out.join(names, F.col("nj_root") == F.col("nj_r")), docs.columns, "nj_size", "nj_component")
 
 
 def _may(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
@@ -193,18 +195,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs, but one row of each component of linked documents: that with the smallest doc_id. Documents without words stay."""
-    key, by_id = row_key(docs, doc_id, text)
+    df, (text, doc_id) = own(docs, text, doc_id)
+    key, by_id = row_key(df, doc_id, text)
     if by_id:
-        gone = roots(docs, key, text, **options).where("nj_root <> nj_key").select("nj_key")
-        return docs.join(gone, key == F.col("nj_key"), "left_anti")
-    result = roots(docs, key, text, **options)
-    named = docs.select(key.alias("nj_row"), F.col(doc_id).alias("nj_d")).join(result.where("nj_size > 0"), F.col("nj_row") == F.col("nj_key"))
+        gone = roots(df, key, text, **options).where("nj_root <> nj_key").select("nj_key")
+        return restored(df.join(gone, key == F.col("nj_key"), "left_anti"), docs.columns)
+    result = roots(df, key, text, **options)
+    named = df.select(key.alias("nj_row"), F.col(doc_id).alias("nj_d")).join(result.where("nj_size > 0"), F.col("nj_row") == F.col("nj_key"))
     first = F.min(F.struct(F.col("nj_d").isNull().alias("nj_null"), "nj_d", "nj_row"))  # a document without an id comes last
     keep = named.groupBy("nj_root").agg(first.alias("nj_m")).select(F.col("nj_m.nj_row").alias("nj_key"))
-    rows = docs.withColumn("nj_row", key)
+    rows = df.withColumn("nj_row", key)
     one = rows.join(keep, F.col("nj_row") == F.col("nj_key"), "left_semi").dropDuplicates(["nj_row"])
     blank = rows.join(result.where("nj_size = 0").select("nj_key"), F.col("nj_row") == F.col("nj_key"), "left_semi")
-    return one.union(blank).select(docs.columns)
+    return restored(one.union(blank), docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -14,11 +14,14 @@ each piece. So "Password2024" is cheap and 16 random characters are not.
 
 Texts are scanned where they stand. Cheap byte tests find the documents that can match at
 all; only those are decoded. The time is linear in the text: matched pieces have at
-most `PIECE` characters, longer ones are chains of pieces.
+most `PIECE` characters, longer ones are chains of pieces, and a value's segmentation ends
+where none can cost less than `ENOUGH` any more: such a value's cost is given as at least that
+much. Base spans need no judgement and have no cost.
 
 Defined cases: null and empty texts have no spans; offsets are code points, ends exclusive;
 repeated documents are scanned one by one; empty tables give empty results; further columns
-are carried along unchanged.
+are carried along unchanged, and an added column whose name the table has already gets
+underscores at the end.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import map_arrow
+from .common import added_names, map_arrow
 
 # fixed values: the base patterns and the least number of characters
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -45,11 +48,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "guess")
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|auth|authorization|bearer|credentials?|private_?key|client_?key|access_?key|secret_?key|encryption_?key|login)["']?\x20*[:=\x20]\x20*["']?([^\s"'<>,;]{8,})""", re.A | re.I)
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|auth|authorization|bearer|credentials?|private_?key|client_?key|access_?key|secret_?key|encryption_?key|login)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?([^\s"'<>,;]{8,}+)""", re.A | re.I)
 BASE_CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", re.A | re.I)
 VALUE_END = re.compile(r"""[\s"'<>,;]""", re.A)
 NEEDLES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"pwd", b"pass", b"pin", b"auth", b"bearer", b"credential", b"private", b"client", b"access", b"encryption", b"login")
-GUESS = 10.0
+GUESS, ENOUGH = 10.0, 100.0
 PIECE = 40
 _JOIN = 0.3
 
@@ -88,8 +91,8 @@ def _brute(c: str) -> float:
     return log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation needs."""
+def guess_cost(value: str, enough: float = float("inf")) -> float:
+    """log10 of the guesses that the cheapest segmentation needs; where that is more than enough, some bound below it that is enough."""
     ranks, longest, beside = _tables()
     low, n = value.lower(), len(value)
     if len(low) != n:
@@ -101,7 +104,10 @@ def guess_cost(value: str) -> float:
         if best[i] + cost + _JOIN < best[j]:
             best[j] = best[i] + cost + _JOIN
 
+    reach = PIECE + longest  # no piece is longer: every segmentation has a border among so many places
     for i in range(n):
+        if i % reach == 0 and i >= reach and (least := min(best[i - reach : i + 1])) >= enough:
+            return least
         c = best[i] + _brute(value[i])
         if c < best[i + 1]:
             best[i + 1] = c
@@ -148,12 +154,12 @@ def _base_values(text: str) -> Iterator[tuple[int, int]]:
             yield a, end
 
 
-def find(text: str, least: float = GUESS) -> list[tuple[str, int, int, str, float]]:
-    """(kind, start, end, value, guess cost) of all spans, by start and kind."""
+def find(text: str, least: float = GUESS) -> list[tuple[str, int, int, str, float | None]]:
+    """(kind, start, end, value, guess cost of guess spans) of all spans, by start and kind."""
     spans = [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     spans += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     spans += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
-    out = [(*s, guess_cost(s[3])) for s in spans]
+    out = [(*s, None) for s in spans]
     taken: list[tuple[int, int]] = []  # disjoint, in order
     for a, b in sorted((s[1], s[2]) for s in spans):
         if taken and a < taken[-1][1]:
@@ -164,7 +170,7 @@ def find(text: str, least: float = GUESS) -> list[tuple[str, int, int, str, floa
         at = bisect_left(taken, (b,))
         if at and taken[at - 1][1] > a:
             continue
-        if (cost := guess_cost(text[a:b])) >= least:
+        if (cost := guess_cost(text[a:b], max(least, ENOUGH))) >= least:
             out.append(("guess", a, b, text[a:b], cost))
             taken.insert(at, (a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -210,7 +216,7 @@ def _scan(text_at: int, least: float):
 def scan(docs: DataFrame, text: str = "text", *, least: float = GUESS) -> DataFrame:
     """docs with sc_spans: array<struct<kind, start, end, value, cost>>, by start and kind."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("cost", T.DoubleType())])
-    return map_arrow(docs, _scan(docs.columns.index(text), least), T.StructType([*docs.schema.fields, T.StructField("sc_spans", T.ArrayType(span))]))
+    return map_arrow(docs, _scan(docs.columns.index(text), least), T.StructType([*docs.schema.fields, T.StructField(added_names(docs.columns, ["sc_spans"])[0], T.ArrayType(span))]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

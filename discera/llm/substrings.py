@@ -24,7 +24,8 @@ the shuffle) or met in equi-joins, which adaptive execution splits.
 Defined cases: null or empty text has no words and an empty result; rows that repeat a
 doc_id are documents of their own (equal rows repeat each other); a document of fewer than
 `length` words loses nothing; empty tables give empty results; further columns are carried
-along unchanged. Words and windows are compared by 64-bit hashes.
+along unchanged, and added columns whose names the table has already get underscores at the
+end. Words and windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import map_arrow, row_key, saved, split_join
+from .common import map_arrow, own, restored, row_key, saved, split_join
 
 LENGTH, GRAM = 35, 12
 SPACE = tk.Alphabet("space", fold=False)
@@ -186,11 +187,12 @@ def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with sd_words, sd_removed (long) and sd_text, the words that stay, joined by one space."""
-    key, _ = row_key(docs, doc_id, text)
-    found = repeats(docs.select(key.alias("k"), F.col(text).alias("t")), length, gram).select(F.col("k").alias("sd_k"), F.col("spans").alias("sd_spans"))
-    out = docs.withColumn("sd_row", key).join(found, F.col("sd_row") == F.col("sd_k"), "left").select(*(F.col(c) for c in docs.columns), "sd_spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("sd_words", T.LongType()), T.StructField("sd_removed", T.LongType()), T.StructField("sd_text", T.StringType())])
-    return map_arrow(out, _cut(docs.columns.index(text), len(docs.columns), length), schema)
+    df, (text, doc_id) = own(docs, text, doc_id)
+    key, _ = row_key(df, doc_id, text)
+    found = repeats(df.select(key.alias("k"), F.col(text).alias("t")), length, gram).select(F.col("k").alias("sd_k"), F.col("spans").alias("sd_spans"))
+    out = df.withColumn("sd_row", key).join(found, F.col("sd_row") == F.col("sd_k"), "left").select(*df.columns, "sd_spans")
+    schema = T.StructType([*df.schema.fields, T.StructField("sd_words", T.LongType()), T.StructField("sd_removed", T.LongType()), T.StructField("sd_text", T.StringType())])
+    return restored(map_arrow(out, _cut(df.columns.index(text), len(df.columns), length), schema), docs.columns, "sd_words", "sd_removed", "sd_text")
 
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
