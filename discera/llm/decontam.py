@@ -6,13 +6,15 @@ an item without words gives none. A document word inside any occurrence of a win
 hit. Hash matches are verified word by word before they count.
 
 The benchmark is read in blocks of at most `block_words` words, each turned into one
-closure of bounded size; the blocks are chained in one stage over the documents, so
-documents are never shuffled, whatever the size of a document or the number of hits.
+closure of bounded size (an item of more words is cut into pieces that overlap by less than a
+window); the blocks are chained in one stage over the documents, so documents are never
+shuffled, whatever the size of a document or the number of hits.
 
 Defined cases: null or empty text has no words and is clean; a null benchmark text gives
 no window; a null item_id is ignored; rows that repeat an item_id count once per id;
 repeated documents are judged one by one; empty tables give empty or clean results;
-further columns are carried along unchanged.
+further columns are carried along unchanged, and added columns whose names the table has
+already get underscores at the end.
 """
 
 from __future__ import annotations
@@ -26,40 +28,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import map_arrow
+from .common import map_arrow, own, restored, saved
 
 WINDOW = 10
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_WORDS = 1_000_000
 ALNUM = tk.Alphabet("alnum", fold=True)
 _FILTER = 1 << 20
 
 
-def _split(text: str) -> list[bytes]:
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    starts, ends, _ = tk.words(data, np.array([0, len(data)]), ALNUM)
-    raw = data.tobytes().lower()
-    return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
 class WindowIndex:
-    """Windows of one benchmark block by length: a bit filter, and each hash's windows with their items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = {}
-        for item, text in items:
-            w = _split(text)
-            if not w:
-                continue
-            k = min(window, len(w))
-            data = np.frombuffer(b" ".join(w), np.uint8)
-            starts, ends, _ = tk.words(data, np.array([0, len(data)]), ALNUM)
-            for i, h in enumerate(tk.gram_hashes(tk.word_hashes(data, starts, ends, ALNUM), k).tolist()):
-                found.setdefault(k, {}).setdefault(h, {}).setdefault(tuple(w[i : i + k]), set()).add(item)
+    """Windows of one benchmark block by length: sorted hashes, each with its item and its place in the block's words.
+
+    pieces: item, text, and whether the text is a whole item (only then may it be shorter than a window). A window
+    takes some 16 bytes; the words of those that are met are put together when they are.
+    """
+
+    def __init__(self, pieces: list[tuple[str, str, bool]], window: int):
+        self.items = [p[0] for p in pieces]
+        raw = [p[1].encode("utf-8", "surrogatepass") for p in pieces]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
+        self.data = np.frombuffer(b"".join(raw).lower(), np.uint8)
+        self.starts, self.ends, first = tk.words(self.data, offsets, ALNUM)
+        hashes = tk.word_hashes(self.data, self.starts, self.ends, ALNUM)
+        counts = np.diff(first)
         self.by_length = {}
-        for k, hashes in sorted(found.items()):
+        for k in sorted({min(window, n) for n, p in zip(counts.tolist(), pieces, strict=True) if n and (n >= window or p[2])}):
+            whole = np.array([min(window, n) == k and (n >= window or p[2]) for n, p in zip(counts.tolist(), pieces, strict=True)], bool)
+            owner = np.repeat(np.arange(len(pieces)), counts)
+            grams = tk.gram_hashes(hashes, k)
+            at = np.flatnonzero((owner[: len(grams)] == owner[k - 1 :]) & whole[owner[: len(grams)]])
+            at = at[np.argsort(grams[at], kind="stable")]
             bits = np.zeros(_FILTER, bool)
-            bits[np.array(list(hashes), np.uint64) & np.uint64(_FILTER - 1)] = True
-            self.by_length[k] = (np.packbits(bits), hashes)
+            bits[grams[at] & np.uint64(_FILTER - 1)] = True
+            self.by_length[k] = (np.packbits(bits), grams[at], at.astype(np.int32), owner[at].astype(np.int32))
+        self.met: dict[tuple[int, int], dict[tuple[bytes, ...], set[str]]] = {}
+
+    def _words(self, i: int, k: int) -> tuple[bytes, ...]:
+        return tuple(self.data[a:b].tobytes() for a, b in zip(self.starts[i : i + k].tolist(), self.ends[i : i + k].tolist(), strict=True))
+
+    def _texts(self, k: int, lo: int, hi: int) -> dict[tuple[bytes, ...], set[str]]:
+        """The windows of one hash, word by word, with their items; kept once met."""
+        if (found := self.met.get((k, lo))) is None:
+            _, _, at, owner = self.by_length[k]
+            found = self.met[k, lo] = {}
+            for i, o in zip(at[lo:hi].tolist(), owner[lo:hi].tolist(), strict=True):
+                found.setdefault(self._words(i, k), set()).add(self.items[o])
+        return found
 
     def scan(self, data, starts, ends, first, hashes):
         """Hit flags of words, and the items found in each document."""
@@ -67,19 +82,21 @@ class WindowIndex:
         delta = np.zeros(n + 1, np.int64)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         items: dict[int, set[str]] = {}
-        for k, (bits, table) in self.by_length.items():
+        for k, (bits, known, _, _) in self.by_length.items():
             if n < k:
                 continue
             grams = tk.gram_hashes(hashes, k)
             maybe = np.unpackbits(bits).view(bool)[grams & np.uint64(_FILTER - 1)]
             maybe &= doc[: n - k + 1] == doc[k - 1 :]
-            for i in np.flatnonzero(maybe).tolist():
-                if (texts := table.get(int(grams[i]))) is not None:
-                    w = tuple(data[starts[j] : ends[j]].tobytes().lower() for j in range(i, i + k))
-                    if (found := texts.get(w)) is not None:
-                        delta[i] += 1
-                        delta[i + k] -= 1
-                        items.setdefault(int(doc[i]), set()).update(found)
+            maybe = np.flatnonzero(maybe)
+            lo, hi = np.searchsorted(known, grams[maybe], "left"), np.searchsorted(known, grams[maybe], "right")
+            real = hi > lo
+            for i, a, b in zip(maybe[real].tolist(), lo[real].tolist(), hi[real].tolist(), strict=True):
+                w = tuple(data[starts[j] : ends[j]].tobytes().lower() for j in range(i, i + k))
+                if (found := self._texts(k, a, b).get(w)) is not None:
+                    delta[i] += 1
+                    delta[i + k] -= 1
+                    items.setdefault(int(doc[i]), set()).update(found)
         return np.cumsum(delta[:-1]) > 0, items
 
 
@@ -136,14 +153,22 @@ def _cut(data, lo, hi, starts, ends, hit) -> str | None:
     return b"".join(parts).decode("utf-8", "replace")
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, clean: bool = False) -> DataFrame:
-    """docs with dc_words, dc_hit (long) and dc_items (sorted strings); with clean also dc_text, the text without hit words (null: nothing was hit)."""
-    bench = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+def _pieces(benchmark: DataFrame, item: str, text: str, window: int, most: int) -> DataFrame:
+    """i, t, w: items in pieces of at most about `most` words, which overlap by less than a window, so each window is in one; w: whether the piece is the whole item."""
+    words = F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    split = benchmark.select(F.col(item).cast("string").alias("i"), words.alias("ws")).where("i is not null and size(ws) > 0")
+    at = split.select("i", "ws", F.explode(F.sequence(F.lit(0), F.greatest(F.size("ws") - window, F.lit(0)), F.lit(most))).alias("a"))
+    return at.select("i", F.array_join(F.slice("ws", F.col("a") + 1, F.lit(most + window - 1)), " ").alias("t"), (F.size("ws") <= most + window - 1).alias("w"))
+
+
+def _annotated(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, block_words: int, clean: bool) -> DataFrame:
+    """docs, named by `own`, with dc_words, dc_hit, dc_items and perhaps dc_text."""
+    bench = saved(_pieces(benchmark, item, item_text, window, block_words))
     chars = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // (2 * block_words)))  # a word and its separator are two characters at least
     df = docs
     for b in range(blocks):
-        rows = [(r.i, r.t) for r in bench.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toLocalIterator()]
+        rows = [(r.i, r.t, r.w) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).toLocalIterator()]
         last, state = b == blocks - 1, None if b == 0 else len(docs.columns)
         more = [("dc_at", T.ArrayType(T.IntegerType())), ("dc_ids", T.ArrayType(T.StringType()))]
         if last:
@@ -152,10 +177,17 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, item:
     return df
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, clean: bool = False) -> DataFrame:
+    """docs with dc_words, dc_hit (long) and dc_items (sorted strings); with clean also dc_text, the text without hit words (null: nothing was hit)."""
+    df, (text,) = own(docs, text)
+    return restored(_annotated(df, benchmark, text, item, item_text, window, block_words, clean), docs.columns, "dc_words", "dc_hit", "dc_items", *["dc_text"] * clean)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without hit words; a document of which no word is left goes, untouched ones stay as they are."""
-    df = annotate(docs, benchmark, text, clean=True, **options).where("dc_hit = 0 or dc_hit < dc_words")
-    return df.select(*(F.coalesce("dc_text", F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns))
+    df, (text,) = own(docs, text)
+    cut = _annotated(df, benchmark, text, item, item_text, window, block_words, True).where("dc_hit = 0 or dc_hit < dc_words")
+    return restored(cut.withColumn(text, F.coalesce("dc_text", F.col(text))), docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,19 +1,20 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation, partition selection and merge.
 
-Vectors become whole numbers, floor(scale * x). Queries are held in blocks of at most
-`block_bytes`, each sent to all tasks; every task passes over its candidates in tiles: for
-each term (dimension), the queries that have a weight there scatter weight times the
-column of the candidates into a dense array of scores; the best k of a tile are
-found by partition selection on a key that joins score and place, and merged into the
-task's best so far. A task returns k rows per query, whatever it has read; a window over the
-queries merges the tasks' results. Candidates are never shuffled or capped.
-
-Defined cases: vectors that are null or hold null or non-finite components take no part, as
-queries or candidates; a shorter vector counts as 0 in the terms that it lacks; a row is
-never a candidate of the query with its own vec_id; rows that repeat a vec_id are candidates
-of their own, and queries that repeat one share a list; ties go to the smaller vec_id; null
-ids take no part; fewer candidates than k are all returned; scores beyond a long saturate;
-empty tables give empty results.
+Vectors become whole numbers, floor(scale * x), and are held as the terms (dimensions) in which
+they are not 0. Queries are held in blocks of at most about `block_bytes`, each sent to all
+tasks; every task passes over its candidates in tiles, whose terms are turned into postings. For each
+term, the queries that have it scatter their weight times the posting's weights into a
+dense array of scores; the best k of a tile are found by partition selection on a key that
+joins score and place, and merged into the task's best so far. A task returns k rows per
+query, whatever it has read; a window over the queries merges the tasks' results. Candidates
+are never shuffled or capped, and a long vector costs its own terms only.
+
+Defined cases: vectors that are null or hold null or non-finite components, or whose scaled
+components leave the doubles, take no part, as queries or candidates; a shorter vector counts as 0
+in the terms that it lacks; a row is never a candidate of the query with its own vec_id; rows
+that repeat a vec_id are candidates of their own, and queries that repeat one share a list;
+ties go to the smaller vec_id; null ids take no part; fewer candidates than k are all
+returned; scores beyond a long saturate; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,37 +35,69 @@ _SAFE = float(1 << 53)
 _FIELDS = "query_id long, vec_id long, score long"
 
 
-def _vectors(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and whole-number vectors, grouped by length: a list of matrices would lose the order, so rows are padded."""
-    column = batch.column(1)
-    size = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    wide = np.zeros((len(size), int(size.max()) if len(size) else 0))
-    wide[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.floor(flat * float(scale))
-    return np.asarray(batch.column(0)).astype(np.int64), wide
-
-
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Term at a time: each term's postings, weighted by the queries that have it, are added to dense scores."""
-    out, part = np.zeros((len(q), len(c))), np.empty((len(q), len(c)))
-    for t in range(min(q.shape[1], c.shape[1])):
-        rows = np.flatnonzero(q[:, t])
-        if len(rows) == len(q):
-            np.multiply(q[:, t, None], c[None, :, t], out=part)
+class _Sparse:
+    """Rows of a batch by vec_id, each with its terms and weights."""
+
+    def __init__(self, batch: pa.RecordBatch, scale: int):
+        column = batch.column(1)
+        size = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+        weight = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * float(scale))
+        row = np.repeat(np.arange(len(size)), size)
+        term = np.arange(len(weight)) - np.repeat(np.cumsum(size) - size, size)
+        ids = np.asarray(batch.column(0)).astype(np.int64)
+        place = np.empty(len(ids), np.int64)
+        place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        some = np.flatnonzero(weight)
+        some = some[np.argsort(place[row[some]], kind="stable")]
+        self.ids = np.sort(ids, kind="stable")
+        self.row, self.term, self.weight = place[row[some]], term[some], weight[some]
+
+    def tile(self, lo: int, hi: int) -> "_Postings":
+        a, b = np.searchsorted(self.row, [lo, hi])
+        return _Postings(self.row[a:b] - lo, self.term[a:b], self.weight[a:b], self.ids[lo:hi])
+
+
+class _Postings:
+    """For each term of a tile the rows that have it, and their weights."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray):
+        self.ids = ids
+        self.most = np.abs(weight).max(initial=0.0)
+        self.length = np.bincount(row, np.abs(weight), minlength=1).max()  # the greatest sum of a row's weights
+        order = np.argsort(term, kind="stable")
+        names, at = np.unique(term[order], return_index=True)
+        self.of = {t: (r, w) for t, r, w in zip(names.tolist(), np.split(row[order], at[1:]), np.split(weight[order], at[1:]), strict=True)} if len(names) else {}
+
+
+def _scores(q: _Postings, c: _Postings) -> np.ndarray:
+    """Term at a time: each query row that has the term scatters its weight times the posting's into dense scores.
+
+    Whole numbers of any size (saturated to longs) where products could leave what doubles hold exactly.
+    """
+    n, m = len(q.ids), len(c.ids)
+    exact = q.length * c.most >= _SAFE / 4
+    out = np.zeros((n, m), object if exact else np.float64)
+    part = None if exact else np.empty((n, m))
+    few, many = (q.of, c.of) if len(q.of) <= len(c.of) else (c.of, q.of)
+    for t in few:
+        if t not in many:
+            continue
+        (rows, a), (columns, b) = q.of[t], c.of[t]
+        if exact:
+            out[np.ix_(rows, columns)] += np.outer(np.array([int(x) for x in a], object), np.array([int(x) for x in b], object))
+        elif len(rows) == n and len(columns) == m:
+            np.multiply(a[:, None], b[None, :], out=part)
             out += part
-        elif len(rows):
-            out[rows] += q[rows, t, None] * c[None, :, t]
+        elif len(columns) == m:
+            out[rows] += a[:, None] * b[None, :]
+        else:
+            out[np.ix_(rows, columns)] += a[:, None] * b[None, :]
+    if exact:
+        top = (1 << 63) - 1
+        return np.array([max(-top, min(top, int(x))) for x in out.ravel()], np.int64).reshape(n, m)
     return out
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The same in whole numbers of any size, for weights whose products leave doubles."""
-    a = [[int(x) for x in r] for r in q]
-    b = [[int(x) for x in r] for r in c]
-    top = (1 << 63) - 1
-    return np.array([[max(-top, min(top, sum(x * y for x, y in zip(r, s, strict=False)))) for s in b] for r in a], np.int64).reshape(len(q), len(c))
-
-
 class _Best:
     """The k best (score, vec_id) of each query so far."""
 
@@ -104,18 +137,16 @@ def _rank(score: np.ndarray) -> np.ndarray:
     return len(values) - place.reshape(score.shape)
 
 
-def _search(ids: np.ndarray, queries: np.ndarray, k: int, scale: int):
+def _search(queries: _Sparse | None, k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = queries.ids if queries else np.zeros(0, np.int64)
         best = _Best(ids, k)
-        most = np.abs(queries).sum(1).max(initial=0)
+        tiles = [queries.tile(i, i + Q_TILE) for i in range(0, len(ids), Q_TILE)] if queries else []
         for batch in batches:
-            vec, c = _vectors(batch, scale)
-            order = np.argsort(vec, kind="stable")
-            vec, c = vec[order], c[order]
-            for lo in range(0, len(vec), C_TILE):
-                tile, names = np.ascontiguousarray(c[lo : lo + C_TILE]), vec[lo : lo + C_TILE]
-                product = _scores if most * np.abs(tile).max(initial=0) < _SAFE / 4 else _exact
-                found = [best.add(slice(i, i + Q_TILE), product(queries[i : i + Q_TILE], tile), names) for i in range(0, len(ids), Q_TILE)]
+            rows = _Sparse(batch, scale)
+            for lo in range(0, len(rows.ids), C_TILE):
+                tile = rows.tile(lo, min(lo + C_TILE, len(rows.ids)))
+                found = [best.add(slice(i * Q_TILE, (i + 1) * Q_TILE), _scores(q, tile), tile.ids) for i, q in enumerate(tiles)]
                 if found:
                     best.merge(np.concatenate([s for s, _ in found]), np.concatenate([v for _, v in found]))
         q, s, v = np.repeat(ids, best.vec.shape[1]), best.score.ravel(), best.vec.ravel()
@@ -132,17 +163,16 @@ def _merged(df: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", *, k: int = K, scale: int = SCALE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other rows for each row where is_query holds."""
-    whole = ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    whole = ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * float(scale)) == float("inf")))
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & whole)
     asked = rows.where(is_query).select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    blocks = max(1, -(-size["n"] * 8 * max(1, size["d"] or 0) // block_bytes))
+    terms = asked.agg(F.sum(F.size("v") + 1).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-terms * 8 // block_bytes))
     done, open_ = [], []
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toArrow().combine_chunks().to_batches()
-        ids, queries = _vectors(part[0], scale) if part else (np.zeros(0, np.int64), np.zeros((0, 0)))
-        open_.append(map_arrow(rows, _search(ids, queries, k, scale), _FIELDS))
+        open_.append(map_arrow(rows, _search(_Sparse(part[0], scale) if part else None, k, scale), _FIELDS))
         if len(open_) == TOGETHER and b < blocks - 1:  # blocks of queries do not pile up on the driver
             done.append(saved(_merged(_union(open_), k).select("query_id", "vec_id", "score")))
             open_ = []

@@ -4,21 +4,25 @@
    the only rows whose labels are seen) gives lexicons: word beginnings of 3 to 9 bytes and
    whole words that stand in many toxic and few clean sample documents, either at all or
    densely. A fixed list of common insults is added.
-2. Each lexicon, split by hash and length, is a voter, beside patterns (shouting, strings of
-   marks, the second person near an insult) and the given label. A voter says toxic,
-   clean or nothing. Expectation maximisation over the sample estimates the share of toxic
+2. Lexicons are parted by their evidence: the fixed list; words, short and long beginnings
+   that stand in a document at all; and the same three that stand densely. Each is a voter,
+   beside patterns (shouting, strings of marks, the second person near an insult) and the given
+   label. A voter says toxic, clean or nothing. Expectation maximisation over the sample estimates the share of toxic
    documents and each voter's rates in both classes; voters whose errors go together (the
    correlation of their residuals) share their weight.
 3. Logistic regression is fitted to the posteriors, on counts and densities of the lexicons'
    hits and the patterns. It scores every whole text, null ones as empty.
 
 Only text is an input of a score. Documents are scored where they stand, in pieces of
-bounded size, without a shuffle; the model is a few kilobytes. Words are compared by hash.
+bounded size, without a shuffle. A lexicon entry stands in 1 of 50 toxic sample documents (densely:
+1 of 200) at least, so their number is bounded by the sample's size and texts, not by the
+corpus; all that meet the conditions are kept. Words are compared by hash.
 
 Defined cases: empty and null texts have the score of a text without words; a label that is
 neither 0 nor 1, a null doc_id in labels, or a doc_id with both labels teaches nothing; without
 toxic or without clean training rows only the fixed list and the patterns vote; repeated
-documents are scored one by one; further columns are carried along unchanged.
+documents are scored one by one; further columns are carried along unchanged, and an added
+column whose name the table has already gets underscores at the end.
 """
 
 from __future__ import annotations
@@ -32,15 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import map_arrow
+from .common import map_arrow, own, restored
 
 PER_CLASS = 4000
 THRESHOLD = 0.7
-MAX_FEATURES = 4000
-"""Lexicon entries considered, the densest first; a bound of the model, not of the documents."""
 LETTERS = tk.Alphabet("letters", fold=True)
 LENGTHS = (3, 4, 5, 6, 7, 8, 9)
-PARTS = 4
+PARTS = 3
 _BITS = 1 << 18
 
 # fixed values: common insults, by language, and second person pronouns
@@ -223,34 +225,42 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3,
     return b[:-1], float(b[-1])
 
 
-def _lexicon(rows: list, toxic: int, clean: int) -> dict[int, int]:
-    """Features of toxic documents, by z-score of their shares in both classes."""
+def _part(n: int) -> int:
+    """Words, short and long beginnings are lexicons of their own."""
+    return 0 if n == 0 else 1 if n <= 5 else 2
+
+
+def _lexicon(rows: list) -> dict[int, int]:
+    """Hash to a bit mask of lexicons, from features and whether they stand out at all and densely."""
     out = {int(h): 1 << GENERAL for h in _hash_words(INSULTS)}
-    if toxic < 2 or clean < 2 or not rows:
-        return out
-    a = np.array([(r.n, r.t, r.c, r.td, r.cd) for r in rows], np.float64)
-    h = [r.h & 0xFFFFFFFFFFFFFFFF for r in rows]
-    for kind, (t, c), least in ((ANY, (a[:, 1], a[:, 2]), 0.02), (DENSE, (a[:, 3], a[:, 4]), 0.005)):
-        p, q = t / toxic, c / clean
-        pool = (t + c) / (toxic + clean)
-        z = (p - q) / np.sqrt(pool * (1 - pool) * (1 / toxic + 1 / clean) + 1e-12)
-        for i in np.flatnonzero((z >= 4) & (t >= 3) & (p >= least) & (q <= 0.03 * p + 0.0005)):
-            out[h[i]] = out.get(h[i], 0) | 1 << (kind + (h[i] >> 40) % PARTS)
+    for r in rows:
+        h = r.h & 0xFFFFFFFFFFFFFFFF
+        for kind, stands in ((ANY, r.any), (DENSE, r.dense)):
+            if stands:
+                out[h] = out.get(h, 0) | 1 << (kind + _part(r.n))
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", *, per_class: int = PER_CLASS) -> Model:
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("d")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where(F.col("d").isNotNull() & (F.col("y") == F.col("z")) & ~held_out(F.col("d"))).select("d", "y")
+def _stands_out(t: Column, c: Column, toxic: int, clean: int, least: float) -> Column:
+    """By the z-score of the shares p and q of both classes' documents."""
+    p, q, pool = t / float(toxic), c / float(clean), (t + c) / float(toxic + clean)
+    z = (p - q) / F.sqrt(pool * (1 - pool) * (1 / toxic + 1 / clean) + 1e-12)
+    return (z >= 4) & (t >= 3) & (p >= least) & (q <= 0.03 * p + 0.0005)
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", label_id: str = "doc_id", *, per_class: int = PER_CLASS) -> Model:
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label_id).alias("d")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where(F.col("d").isNotNull() & (F.col("y") == F.col("z")) & ~held_out(F.col("d"))).select("d", "y")
     order = [F.xxhash64(F.lit("toxicity"), F.col("d").cast("string")), "d"]
     picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(*order).limit(per_class).collect()]  # bounded: 2 * per_class ids
     sample = docs.sparkSession.createDataFrame(picked, known.schema)
     rows = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "d").select("t", "y")
     size = {y: sum(r.y == y for r in picked) for y in (0, 1)}
     mined = map_arrow(rows, _mine, "n int, h long, t long, c long, td long, cd long").groupBy("n", "h").agg(*(F.sum(c).alias(c) for c in ("t", "c", "td", "cd")))
-    least = F.greatest(F.lit(3.0), F.lit(0.005 * size[1]))
-    top = mined.where((F.greatest("t", "td") >= least) & ((F.col("t") * size[0] > 20 * F.col("c") * size[1]) | (F.col("td") * size[0] > 20 * F.col("cd") * size[1])))
-    found = top.orderBy(F.desc(F.col("td") * 4 + F.col("t")), "h").limit(MAX_FEATURES).collect()
-    model = Model(_lexicon(found, size[1], size[0]))
+    found = []
+    if min(size.values()) >= 2:
+        marks = [_stands_out(F.col(t), F.col(c), size[1], size[0], least).alias(n) for t, c, least, n in (("t", "c", 0.02, "any"), ("td", "cd", 0.005, "dense"))]
+        found = mined.select("n", "h", *marks).where("any or dense").collect()  # bounded by the sample
+    model = Model(_lexicon(sorted(found, key=lambda r: (r.h, r.n))))
 
     def measured(batches):
         for b in batches:
@@ -292,15 +302,22 @@ def _scorer(text_at: int, model: Model):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with tx_score (0 to 1)."""
+def _scored(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, options: dict) -> DataFrame:
+    """docs, named by `own`, with tx_score."""
     model = train(docs, labels, text, doc_id, **options)
     return map_arrow(docs, _scorer(docs.columns.index(text), model), T.StructType([*docs.schema.fields, T.StructField("tx_score", T.DoubleType())]))
 
 
-def clean(docs: DataFrame, labels: DataFrame, text: str = "text", *, threshold: float = THRESHOLD, **options) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs with tx_score (0 to 1)."""
+    df, names = own(docs, text, doc_id)
+    return restored(_scored(df, labels, *names, options), docs.columns, "tx_score")
+
+
+def clean(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs without those that score threshold or more."""
-    return score(docs, labels, text, **options).where(F.col("tx_score") < threshold).select(docs.columns)
+    df, names = own(docs, text, doc_id)
+    return restored(_scored(df, labels, *names, options).where(F.col("tx_score") < threshold), docs.columns)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
