@@ -24,8 +24,11 @@ but for 64-bit hashes of shingles.
    filter (an upper bound of the overlap from counts in hash classes) and are verified once.
    Pairs within a component need no check: they cannot change the result.
 
-A shingle has one row per document at most, so one shingle is never a large part of
-the rows; joins on shingles are plain equi-joins which adaptive execution splits.
+A shingle that a fiftieth of all documents have is found beforehand, by lossy counting in each
+task: one that has a share of all rows has it in some task's rows. Such shingles are known to be
+shared and stand last in the rare-first order; their rows are dealt by document when
+shingles are counted, so no task holds all rows of one. Any order would be exact. Joins on
+shingles are plain equi-joins which adaptive execution splits.
 
 Defined cases: null or empty text has size 0 and is a component of its own; rows that
 repeat a doc_id are documents of their own, and a null doc_id never becomes a component
@@ -80,8 +83,37 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
 
 
+HOT = 0.02
+"""Shingles that so many of all documents have (for certain; from half as many on, perhaps) are known to be shared and go round the frequency counts."""
+
+
+class _Frequent:
+    """Lossy counting of the shingles that a task sees: an entry may miss HOT / 8 of the documents at most, and there are never many more than a few thousand a shingle of the mean set."""
+
+    def __init__(self):
+        self.names, self.counts, self.missed, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, grams: np.ndarray, docs: int) -> None:
+        before = int(self.docs * HOT / 8)
+        self.docs += docs
+        values, counts = np.unique(grams, return_counts=True)
+        names, at = np.unique(np.concatenate([self.names, values]), return_inverse=True)
+        total, missed = np.zeros(len(names), np.int64), np.full(len(names), before)
+        total[at[: len(self.names)]], missed[at[: len(self.names)]] = self.counts, self.missed
+        total[at[len(self.names) :]] += counts
+        stay = total + missed > self.docs * HOT / 8
+        self.names, self.counts, self.missed = names[stay], total[stay], missed[stay]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        stay = (self.counts >= self.docs * HOT * 3 / 8) & (self.counts > 1)
+        return self.names[stay], self.counts[stay]
+
+
 def _sizes(k: int):
+    """A row for each document; and rows without a key, whose da is a shingle that is frequent in a task and n its count there."""
+
     def run(batches):
+        frequent = _Frequent()
         for b in batches:
             n, da, db = [], [], []
             for grams, counts in _sets(b.column(1), k):
@@ -90,14 +122,20 @@ def _sizes(k: int):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(grams * np.uint64(salt)), dtype=np.uint64)])
                     out.append(tk.signed(tk.mix(total[edge[1:]] - total[edge[:-1]] + counts.astype(np.uint64))))
                 n.append(counts)
+                frequent.add(grams, len(counts))
             join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(join(n), pa.int64()), pa.array(join(da)), pa.array(join(db))], ["k", "n", "da", "db"])
+        names, times = frequent.found()
+        nothing = pa.nulls(len(names), pa.int64())
+        yield pa.RecordBatch.from_arrays([nothing, pa.array(times, pa.int64()), pa.array(tk.signed(names)), nothing], ["k", "n", "da", "db"])
 
     return run
 
 
-def _tokens(k: int, percent: int | None):
-    """The first shingles of each set in hash order (all where percent is None)."""
+def _tokens(k: int, percent: int | None, hot: np.ndarray):
+    """The first shingles of each set in hash order (all where percent is None). hot: the frequent ones, the rarest first; what stands for them is odd and keeps that order, all others are even."""
+    order = np.argsort(hot)
+    names, places = hot[order], (order.astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
     def run(batches):
         for b in batches:
@@ -107,6 +145,8 @@ def _tokens(k: int, percent: int | None):
                 edge = np.concatenate([[0], np.cumsum(n)])
                 rank = np.arange(len(grams)) - np.repeat(edge[:-1], n)
                 kept = grams[rank < np.repeat(take, n)]
+                i = np.minimum(np.searchsorted(names, kept), max(len(names) - 1, 0))
+                kept = np.where(names[i] == kept, places[i], kept & ~np.uint64(1)) if len(names) else kept & ~np.uint64(1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n, pa.int64()), tk.lists(tk.signed(kept), take, pa.int64())], ["k", "n", "h"])
                 at += len(n)
 
@@ -125,16 +165,22 @@ def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 def roots(docs: DataFrame, key: Column, text: str = "text", *, k: int = K, percent: int = PERCENT) -> DataFrame:
     """nj_key, nj_size and nj_root, the smallest key reachable, for each key."""
     keyed = docs.select(key.alias("k"), F.col(text).alias("t"))
-    sizes = saved(map_arrow(keyed, _sizes(k), "k long, n long, da long, db long"))
+    counted = saved(map_arrow(keyed, _sizes(k), "k long, n long, da long, db long"))
+    sizes = counted.where("k is not null")
+    least = HOT * 3 / 8 * sizes.count()
+    often = counted.where("k is null").groupBy("da").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.col("n") >= least)).orderBy("n", "da").toArrow()
+    hot = np.asarray(often.column("da")).astype(np.int64).view(np.uint64)  # at most 8 / (3 * HOT) times the mean size of a set
     classes = sizes.where("n > 0").groupBy("da", "db", "n").agg(F.min("k").alias("rep"))
 
-    sample = map_arrow(keyed, _tokens(k, percent), "k long, n long, h array<long>").select("k", F.explode("h").alias("h"))
-    count = F.count(F.lit(1)).over(W.partitionBy("h"))
-    shared = sample.withColumn("c", count).where("c > 1").groupBy("k").agg(F.count(F.lit(1)).alias("s"))
+    is_hot = F.col("h").bitwiseAND(1) == 1
+    # rows of a frequent shingle need not meet: they are dealt by document, and their order among themselves is known
+    counts = F.when(is_hot, F.lit(1 << 40)).otherwise(F.count(F.lit(1)).over(W.partitionBy("h", F.when(is_hot, F.col("k")).otherwise(F.lit(0)))))
+    sample = map_arrow(keyed, _tokens(k, percent, hot), "k long, n long, h array<long>").select("k", F.explode("h").alias("h"))
+    shared = sample.withColumn("c", counts).where("c > 1").groupBy("k").agg(F.count(F.lit(1)).alias("s"))
     left = saved(shared.join(classes.select(F.col("rep").alias("k"), "n").distinct(), "k").where(F.expr(f"s >= 1 + n * {percent} div {100 * SAMPLE}")).select("k"))
 
-    full = map_arrow(likely_in(keyed, left, "k").join(left, "k"), _tokens(k, None), "k long, n long, h array<long>").select("k", "n", F.explode("h").alias("h"))
-    ranked = full.withColumn("c", count).where("c > 1").groupBy("k", "n").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("o"))
+    full = map_arrow(likely_in(keyed, left, "k").join(left, "k"), _tokens(k, None, hot), "k long, n long, h array<long>").select("k", "n", F.explode("h").alias("h"))
+    ranked = full.withColumn("c", counts).where("c > 1").groupBy("k", "n").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("o"))
     sets = ranked.where(F.size("o") * 100 >= F.col("n") * percent)
     hashes = F.transform("o", lambda x: x["h"])
     bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.size(F.filter("o", lambda x: F.pmod(x["h"], F.lit(BINS)) == i)))
