@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discera.llm import decontam, linededup, mixing, ngramjoin, toxicity
-from discera.llm.common import saved
+from discera.llm.common import forget, saved, written
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Tables that stages have written to the shared folder go as soon as the next stage's rows are written; those that the result rests on go when the caller, having written it, calls common.forget(spark)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = written()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = saved(docs)
+            forget(spark, start, keep=docs)
     return docs

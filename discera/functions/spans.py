@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,25 +30,34 @@ LINK_HINT = re.compile(r"https?://|www\.|\w\.\w", re.I)
 THRICE = re.compile(r"(\w)\1\1")
 OPENING = re.compile(rf"(?:@{HANDLE}[\s,]*)+")
 TAIL = re.compile(rf"(?:#\w+|(?:{URL.pattern})|[\s.,;:!?…]+|{EMOJI.pattern})\Z", re.I)
-TAIL_CHARS = 2048
-"""A tag, link or run of signs at a text's end is looked for in its last characters, block by block."""
+LONE_CAPITALS = re.compile(r"(?=\w*[AEIOUÁÉÍÓÚÜ])(?!\w*(\w)\1{2})\w{5,}")
 LINK_LIKE = re.compile(r"[\w\-/?=&%]+\.[A-Za-z]{2,}[\w\-/?=&%.]*\Z")
 
 KIND = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("inicio", "fin") else T.StringType()) for n in ("tipo", "valor", "norm", "inicio", "fin", "extra")]))
 
 
-class _Marks:
-    """Spans found, and the places they take."""
+# fixed values: classes of punctuation, the first that a run of signs shows
+SIGN_CLASSES = (
+    ("suspensivos", re.compile(r"…|\A\.{3}")),
+    ("interrogacion_exclamacion", re.compile(r"!.*\?|\?.*!")),
+    ("exclamacion_multiple", re.compile("!")),
+    ("interrogacion_multiple", re.compile(r"\?")),
+)
+LOOK_BACK = 2048
+"""How far back from a text's end, or a run of points, a tag, link or word is looked for at once."""
 
-    def __init__(self, text: str):
-        self.text, self.found, self.taken, self.outer = text, [], [], 0
+
+class _Places:
+    """Which characters of a text are taken: one byte for each, so a look and a mark cost their own length."""
+
+    def __init__(self, size: int):
+        self.bytes = bytearray(size)
 
     def free(self, a: int, b: int) -> bool:
-        return not any(a < y and x < b for x, y in self.taken)
+        return self.bytes.find(1, a, b) < 0
 
-    def add(self, kind: str, a: int, b: int, norm: str, extra: str = "") -> None:
-        self.found.append((kind, self.text[a:b], norm, a, b, extra))
-        self.taken.append((a, b))
+    def take(self, a: int, b: int) -> None:
+        self.bytes[a:b] = b"\1" * (b - a)
 
 
 def domain_of(url: str) -> str:
@@ -57,82 +67,83 @@ def domain_of(url: str) -> str:
 
 def _tail(text: str) -> int:
     """Where the closing block of hashtags, links, emojis and signs begins."""
-    while m := TAIL.search(text, max(0, len(text) - TAIL_CHARS)):
-        if m.start() == m.end():
-            break
-        text = text[: m.start()]
-    return len(text)
-
-
-def _capitals(marks: _Marks) -> None:
-    text = marks.text
-    words = [m.span() for m in CAPITALS.finditer(text) if marks.free(*m.span())]
-    runs: list[list[tuple[int, int]]] = []
-    for w in words:
-        gap = (runs[-1][-1][1], w[0]) if runs else (0, 0)
-        between = text[gap[0] : gap[1]]
-        if runs and 0 < len(between) <= GAP and not any(map(str.isalpha, between)) and between.count("\n") <= 1 and marks.free(*gap):
-            runs[-1].append(w)
-        else:
-            runs.append([w])
-    others = [s for s in marks.taken]
-    spoken = [m for m in WORD.finditer(text) if not any(m.start() < y and x < m.end() for x, y in others[: marks.outer])]
-    if words and len(spoken) >= 4 and len(words) / len(spoken) >= 0.8:
-        marks.add("tecnografismo", runs[0][0][0], runs[-1][-1][1], "mayusculas_sostenidas", "mayusculas:frase")
-        return
-    for run in runs:
-        a, b = run[0][0], run[-1][1]
-        value = text[a:b]
-        if len(run) > 1:
-            marks.add("tecnografismo", a, b, re.sub(r"[\s,]+", " ", value).strip().lower(), "mayusculas:expresion")
-        elif len(value) >= 5 and re.search("[AEIOUÁÉÍÓÚÜ]", value) and not re.search(r"(\w)\1{2,}", value):
-            marks.add("tecnografismo", a, b, value.lower(), "mayusculas:palabra")
-
-
-def _class_of(signs: str) -> str:
-    if "…" in signs or signs.startswith("..."):
-        return "suspensivos"
-    if "!" in signs:
-        return "interrogacion_exclamacion" if "?" in signs else "exclamacion_multiple"
-    return "interrogacion_multiple"
+    end = len(text)
+    while end and (m := TAIL.search(text, max(0, end - LOOK_BACK), end)) and m.start() < end:
+        end = m.start()
+    return end
+
+
+def _shouted(text: str, places: _Places, outer: bytes) -> list[tuple[int, int, str, str]]:
+    """Capitals: the whole text where four of five words are (of four at least), else chains of words with short gaps, else long words with a vowel."""
+    words = [m.span() for m in CAPITALS.finditer(text) if places.free(*m.span())]
+    if not words:
+        return []
+    spoken = sum(outer.find(1, *m.span()) < 0 for m in WORD.finditer(text))
+    if spoken >= 4 and len(words) >= 0.8 * spoken:
+        return [(words[0][0], words[-1][1], "mayusculas_sostenidas", "mayusculas:frase")]
+
+    def apart(left: tuple[int, int], right: tuple[int, int]) -> bool:
+        gap = text[left[1] : right[0]]
+        return not 0 < len(gap) <= GAP or gap.count("\n") > 1 or any(map(str.isalpha, gap)) or not places.free(left[1], right[0])
+
+    cuts = [0, *(i for i, (x, y) in enumerate(pairwise(words), 1) if apart(x, y)), len(words)]
+    out = []
+    for i, j in pairwise(cuts):
+        a, b = words[i][0], words[j - 1][1]
+        if j - i > 1:
+            out.append((a, b, re.sub(r"[\s,]+", " ", text[a:b]).strip().lower(), "mayusculas:expresion"))
+        elif LONE_CAPITALS.match(text, a, b):
+            out.append((a, b, text[a:b].lower(), "mayusculas:palabra"))
+    return out
 
 
 def find_spans(text: str | None) -> list[tuple]:
-    """All spans by place. What an earlier kind has taken, a later one leaves: links, tags, mentions, emojis, laughter, capitals, lengthening, punctuation."""
+    """All spans by place. What an earlier kind has taken, a later one leaves: links, tags, mentions, emojis, laughter, capitals, lengthening, punctuation. The time is linear in the text."""
     text = text or ""
-    marks = _Marks(text)
-    links = []
+    places, found = _Places(len(text)), []
+
+    def mark(kind: str, a: int, b: int, norm: str, extra: str = "") -> None:
+        found.append((kind, text[a:b], norm, a, b, extra))
+        places.take(a, b)
+
+    link_ends = set()
     for m in URL.finditer(text) if LINK_HINT.search(text) else ():
         url = m[0].rstrip(URL_TAIL)
-        marks.found.append(("url", url, domain_of(url), m.start(), m.start() + len(url), ""))
-        links.append(m.span())
-    marks.taken = list(links)
+        found.append(("url", url, domain_of(url), m.start(), m.start() + len(url), ""))
+        places.take(*m.span())
+        link_ends.add(m.end())
     start = OPENING.match(text)
     opening = start.end() if start else 0
-    tags = [m for m in HASHTAG.finditer(text) if marks.free(*m.span())]
-    names = [m for m in MENTION.finditer(text) if marks.free(*m.span())]
+    tags = [m for m in HASHTAG.finditer(text) if places.free(*m.span())]
+    names = [m for m in MENTION.finditer(text) if places.free(*m.span())]
     end = _tail(text) if tags else len(text)
     for m in tags:
-        marks.add("hashtag", *m.span(), m[1].lower(), "pospuesta" if m.start() >= end else "integrada")
+        mark("hashtag", *m.span(), m[1].lower(), "pospuesta" if m.start() >= end else "integrada")
     for m in names:
-        marks.add("mencion", *m.span(), m[1].lower(), "vocativo_inicial" if m.end() <= opening else "integrada")
-    for m in EMOJI.finditer(text):
-        marks.add("emoji", *m.span(), unicodedata.name(m[0], "emoji").lower().replace(" ", "_"))
-    marks.outer = len(marks.taken)
+        mark("mencion", *m.span(), m[1].lower(), "vocativo_inicial" if m.end() <= opening else "integrada")
+    for m in () if text.isascii() else EMOJI.finditer(text):
+        mark("emoji", *m.span(), unicodedata.name(m[0], "emoji").lower().replace(" ", "_"))
+    outer = bytes(places.bytes)
     for m in LAUGHTER.finditer(text):
-        if len(m[0]) >= 4 and marks.free(*m.span()):
-            marks.add("tecnografismo", *m.span(), "risa", "risa")
-    _capitals(marks)
+        if len(m[0]) >= 4 and places.free(*m.span()):
+            mark("tecnografismo", *m.span(), "risa", "risa")
+    for a, b, norm, extra in _shouted(text, places, outer):
+        mark("tecnografismo", a, b, norm, extra)
     for m in LENGTHENED.finditer(text) if THRICE.search(text) else ():
-        if marks.free(*m.span()) and not any(map(str.isdigit, m[0])):
-            marks.add("tecnografismo", *m.span(), re.sub(r"(\w)\1{2,}", r"\1", m[0]).lower(), "alargamiento")
+        if places.free(*m.span()) and not any(map(str.isdigit, m[0])):
+            mark("tecnografismo", *m.span(), re.sub(r"(\w)\1{2,}", r"\1", m[0]).lower(), "alargamiento")
     for m in PUNCTUATION.finditer(text):
-        name = _class_of(m[0])
-        before = re.split(r"[ \n]", text[: m.start()])[-1]
-        cut_link = name == "suspensivos" and (any(m.start() - y in (0, 1) for _, y in links) or bool(before and LINK_LIKE.search(before)))
-        if marks.free(*m.span()) and not cut_link:
-            marks.add("tecnografismo", *m.span(), name, "puntuacion")
-    return sorted(marks.found, key=lambda s: (s[3], s[4]))
+        if not places.free(*m.span()):
+            continue
+        name = next(n for n, p in SIGN_CLASSES if p.search(m[0]))
+        if name == "suspensivos":  # where a link was cut off
+            at = m.start()
+            low = max(0, at - LOOK_BACK)
+            word = text[max(text.rfind(" ", low, at), text.rfind("\n", low, at), low - 1) + 1 : at]
+            if at in link_ends or at - 1 in link_ends or LINK_LIKE.search(word):
+                continue
+        mark("tecnografismo", *m.span(), name, "puntuacion")
+    return sorted(found, key=lambda s: (s[3], s[4]))
 
 
 @F.pandas_udf(KIND)

@@ -190,6 +190,17 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|||", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
+# fixed values: pronouns and determiners that refer without naming
+PRONOUNS = """yo mi me conmigo mio mia mios mias nosotros nosotras nos nuestro nuestra nuestros nuestras vos tu te ti usted ustedes ud uds
+vosotros vosotras os su sus le les el ella ellos ellas esto eso aquello este ese aquel""".split()
+
+
+def lexical_modality(mark: Column) -> Column:
+    """referencia_gramatical where a mark, without what is in parentheses, is made of pronouns alone; null where only a model can tell."""
+    words = F.filter(F.split(F.regexp_replace(fold(mark), r"\(.*?\)", ""), "[^a-z0-9]+"), lambda w: w != "")
+    return F.when((F.size(words) > 0) & F.forall(words, lambda w: w.isin(PRONOUNS)), "referencia_gramatical")
+
+
 def stable_tone(name: Column, tones: int = 7) -> Column:
     return F.crc32(fold(F.trim(name))) % tones
 

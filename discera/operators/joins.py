@@ -41,40 +41,62 @@ def block_pairs(df: DataFrame, key: str, block: str, max_block: int | None = Non
     return x.join(y, "t").where((F.col("a") < F.col("b")) & (F.get(F.array_intersect("xs", "ys"), F.lit(0)) == F.col("t"))).select("a", "b")
 
 
+BLOCK_BYTES, TILE = 8 << 20, 512
+
+
+def _matrix(batch) -> tuple:
+    """Ids, ascending, and unit vectors of a batch; vectors of length 0 stay 0, shorter ones end in zeros."""
+    import numpy as np
+
+    size = np.asarray(batch.column(1).value_lengths()).astype(np.int64)
+    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(size), int(size.max(initial=0))))
+    out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.nan_to_num(flat)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    order = np.argsort(np.asarray(batch.column(0)), kind="stable")
+    return np.asarray(batch.column(0))[order], np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)[order]
+
+
 def nearest(df: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
-    """Pairs i < j of the union of all lists of the k most similar vectors (cosine >= least), with the greatest similarity. Exact: candidates are met in blocks that every task passes over."""
+    """Pairs i < j of the union of all lists of the k most similar vectors (cosine >= least, ties to the smaller key), with the greatest similarity.
+
+    Exact: queries go to the tasks in blocks of BLOCK_BYTES, and every task passes over its vectors in tiles, keeping
+    k rows a query. Each block's lists are written before the next one is taken up, so neither the plan nor the driver
+    grows with the vectors; the work is by its nature vectors times vectors.
+    """
     import numpy as np
     import pyarrow as pa
 
-    norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    unit = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double") / norm).alias("v"))
-    blocks = max(1, -(-unit.count() // 4096))
+    from discera.plans.storage import saved
+
+    unit = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-(unit.agg(F.sum(F.size("v") + 1)).first()[0] or 0) * 8 // BLOCK_BYTES))
     parts = None
+    rank = F.row_number().over(W.partitionBy("i").orderBy(F.desc("s"), "j"))
     for b in range(blocks):
-        asked = unit.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toArrow()
-        ids = np.asarray(asked.column("k"))
-        q = np.array(asked.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
+        asked = unit.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toArrow().combine_chunks().to_batches()
+        ids, q = _matrix(asked[0]) if asked else (np.zeros(0, np.int64), np.zeros((0, 0)))
 
         def search(batches, ids=ids, q=q):
-            top = [[] for _ in ids]
+            score, name = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
             for batch in batches:
-                names = np.asarray(batch.column(0))
-                c = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(names), -1)
-                if not len(names) or not len(ids):
-                    continue
-                s = q @ c.T
-                for i in range(len(ids)):
-                    good = np.flatnonzero((s[i] >= least - 1e-12) & (names != ids[i]))
-                    best = sorted([(-s[i, j], int(names[j])) for j in good] + top[i])[:k]
-                    top[i] = best
-            rows = [(int(i), n, -s) for i, t in zip(ids, top, strict=True) for s, n in t]
-            yield pa.RecordBatch.from_pylist([{"i": a, "j": b, "s": c} for a, b, c in rows], pa.schema([("i", pa.int64()), ("j", pa.int64()), ("s", pa.float64())]))
-
-        found = unit.mapInArrow(search, "i long, j long, s double")
+                names, c = _matrix(batch)
+                d = min(q.shape[1], c.shape[1])
+                for lo in range(0, len(names), TILE):
+                    tile = names[lo : lo + TILE]
+                    s = q[:, :d] @ c[lo : lo + TILE, :d].T
+                    s[(s < least - 1e-12) | (tile[None, :] == ids[:, None])] = -np.inf
+                    s = np.concatenate([score, s], 1)
+                    n = np.concatenate([name, np.broadcast_to(tile, (len(ids), len(tile)))], 1)
+                    best = np.lexsort((n, -s), axis=1)[:, :k]
+                    score, name = np.take_along_axis(s, best, 1), np.take_along_axis(n, best, 1)
+            real = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], score.shape)[real]), pa.array(name[real]), pa.array(score[real])], ["i", "j", "s"])
+
+        found = unit.mapInArrow(search, "i long, j long, s double").withColumn("r", rank).where((F.col("r") <= k) & (F.col("s") >= least)).drop("r")
+        found = saved(found) if blocks > 1 else found
         parts = found if parts is None else parts.union(found)
-    rank = F.row_number().over(W.partitionBy("i").orderBy(F.desc("s"), "j"))
-    kept = parts.withColumn("r", rank).where((F.col("r") <= k) & (F.col("s") >= least))
-    return kept.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("s").alias("similarity"))
+    return parts.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("s").alias("similarity"))
 
 
 def as_of(left: DataFrame, right: DataFrame, on: str, at: str, value: str) -> DataFrame:

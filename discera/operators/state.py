@@ -64,6 +64,45 @@ def flatten(df: DataFrame, payload: str, prefix: str, keys: list[str]) -> DataFr
     return df.select(*(c for c in df.columns if c != payload), *(F.get_json_object(payload, f"$.{k}").alias(f"{prefix}__{k}") for k in keys))
 
 
+MOST_COLUMNS = 2000
+
+
+def flatten_keys(df: DataFrame, payload: str, prefix: str, levels: int = 1) -> DataFrame:
+    """A JSON payload's keys, as they are found in all rows, as columns prefix__key (levels 2: prefix__key__field for objects); deeper values stay JSON.
+
+    A key that is missing gives null, one that is null an empty text; a payload that is no object stands in a column named by
+    the prefix. Columns come in the order of their names. More than MOST_COLUMNS different keys are an error: the payload is no record then.
+    """
+    outer = df.select(F.col(payload).alias("p")).where(F.col("p").isNotNull())
+    named = lambda keys: [r[0] for r in keys.limit(MOST_COLUMNS + 1).collect()]
+    first = outer.select(F.explode(F.json_object_keys("p")).alias("k")).distinct()
+    if levels == 2:
+        pairs = outer.select(F.explode(F.from_json("p", "map<string,string>")).alias("k", "v"))
+        inner = pairs.select("k", F.explode_outer(F.json_object_keys(F.when(F.ltrim("v").startswith("{"), F.col("v")))).alias("f")).distinct()
+        paths = [(r.k, r.f) for r in inner.limit(MOST_COLUMNS + 1).collect()]
+    else:
+        paths = [(k, None) for k in named(first)]
+    if len(paths) > MOST_COLUMNS:
+        raise ValueError(f"{payload} has more than {MOST_COLUMNS} different keys")
+    objects = {k for k, f in paths if f is not None}
+    record = lambda c: F.from_json(c, "map<string,string>")  # noqa: E731  nested values stay JSON
+    columns = []
+    for k, f in sorted(paths, key=lambda x: (x[0], x[1] or "")):
+        top, value = record(F.col(payload)), record(F.col(payload))[k]
+        if f is None:
+            if k in objects:  # only the values of rows that have no object here
+                value = F.when(~F.ltrim(value).startswith("{"), value)
+            else:
+                value = F.when(F.map_contains_key(top, F.lit(k)), F.coalesce(value, F.lit("")))
+            columns.append(value.alias(f"{prefix}__{k}"))
+        else:
+            held = record(F.when(F.ltrim(value).startswith("{"), value))
+            columns.append(F.when(F.map_contains_key(held, F.lit(f)), F.coalesce(held[f], F.lit(""))).alias(f"{prefix}__{k}__{f}"))
+    other = F.when(~F.ltrim(payload).startswith("{"), F.col(payload)).alias(prefix)
+    rest = [c for c in df.columns if c != payload]
+    return df.select(*rest, *([other] if not outer.where(~F.ltrim("p").startswith("{")).isEmpty() else []), *columns)
+
+
 def metadata_long(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """One row for each declared field that has a value: key, campo, etiqueta, valor."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("campo"), F.lit(label).alias("etiqueta"), F.col(c).cast("string").alias("valor")) for c, label in fields.items()))).alias("x")

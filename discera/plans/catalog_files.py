@@ -217,7 +217,7 @@ def inc_runs(t):
     return r.groupBy("codigo").agg(F.max("n").alias("larga"))
 
 
-@query()
+@query(f"WITH {EVENTS} SELECT a.codigo, a.frase_idx, (SELECT string_agg(b.tipo_emocion, chr(10) ORDER BY b.frase_idx) FROM ev b WHERE b.codigo = a.codigo AND b.frase_idx BETWEEN a.frase_idx - 2 AND a.frase_idx - 1) AS contexto FROM ev a WHERE a.frase_idx < 3")
 def ev_context_all(t):
     e = t.events_view().select("codigo", "frase_idx", "tipo_emocion")
     return ev.context(e, e.where("frase_idx < 3"), "codigo", "frase_idx", "tipo_emocion", 2)

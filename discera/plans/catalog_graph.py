@@ -74,17 +74,25 @@ def g_pagerank(t):
     return gr.pagerank(_edges(t), rounds=4).select("nodo", F.round("pagerank", 9).alias("pagerank"))
 
 
-@query()
+def _settled(select: str) -> str:
+    """SQL over rank(nodo, r): 30 rounds of PageRank over the edges."""
+    return f"""WITH RECURSIVE {EDGES}, v AS (SELECT origen AS nodo FROM e UNION SELECT destino FROM e), n AS (SELECT count(*)::DOUBLE AS n FROM v), p AS (SELECT origen, destino, peso / sum(peso) OVER (PARTITION BY origen) AS p FROM e),
+x AS (SELECT nodo, 1 / n AS r, 0 AS i FROM v, n UNION ALL SELECT nodo, any_value(0.15::DOUBLE / n) + 0.85::DOUBLE * sum(m), any_value(i) + 1 FROM (
+  SELECT p.destino AS nodo, p.p * x.r AS m, x.i FROM x JOIN p ON p.origen = x.nodo UNION ALL SELECT v.nodo, s.d / n, s.i FROM v, n, (SELECT sum(CASE WHEN x.nodo NOT IN (SELECT origen FROM e) THEN x.r ELSE 0 END) AS d, i FROM x GROUP BY i) s), n WHERE i < 30 GROUP BY nodo),
+rank AS (SELECT nodo, r FROM x WHERE i = 30) {select}"""
+
+
+@query(_settled("SELECT nodo, r AS pagerank FROM rank"))
 def g_pagerank_converged(t):
     return gr.pagerank(_edges(t))
 
 
-@query()
+@query(_settled("SELECT nodo, r AS pagerank FROM rank ORDER BY r DESC, nodo LIMIT 10"))
 def topk_pagerank(t):
     return gr.pagerank(_edges(t)).orderBy(F.desc("pagerank"), "nodo").limit(10)
 
 
-@query()
+@query(_settled(", top AS (SELECT nodo FROM rank ORDER BY r DESC, nodo LIMIT 12) SELECT origen, destino, peso FROM e WHERE origen IN (SELECT nodo FROM top) AND destino IN (SELECT nodo FROM top)"))
 def topk_nodes(t):
     e = _edges(t)
     top = gr.pagerank(e).orderBy(F.desc("pagerank"), "nodo").limit(12).select("nodo")
@@ -133,7 +141,9 @@ def g_communities(t):
     return gr.communities(_graph(t))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT a, o, sum(p) AS p FROM (SELECT origen AS a, destino AS o, peso AS p FROM e WHERE origen <> destino UNION ALL SELECT destino, origen, peso FROM e WHERE origen <> destino) GROUP BY a, o),
+l AS (SELECT DISTINCT a AS nodo, a AS c, 0 AS i FROM b UNION ALL SELECT nodo, min_by(c, (-w, c)) AS c, any_value(i) + 1 FROM (SELECT b.a AS nodo, l.c, sum(b.p) AS w, any_value(l.i) AS i FROM b JOIN l ON l.nodo = b.o GROUP BY b.a, l.c) WHERE i < 10 GROUP BY nodo)
+SELECT nodo, c AS comunidad FROM l WHERE i = 10""")
 def g_label_communities(t):
     return gr.label_communities(_edges(t))
 
@@ -531,7 +541,7 @@ def inc_cache(t):
 # inference ---------------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {POSTS} SELECT post_id, CASE WHEN texto IS NOT NULL THEN (['alegria', 'ira', 'miedo', 'calma'])[(('0x' || right(sha256(texto), 1))::INT % 4) + 1] END AS tipo_emocion, NULL::VARCHAR AS error FROM posts")
 def infer_units(t):
     return nf.infer(t.posts().select("post_id", "texto"), F.col("texto"), nf.StubBackend).select("post_id", F.get_json_object("payload", "$.tipo_emocion").alias("tipo_emocion"), "error")
 

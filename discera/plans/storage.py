@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new folder's path under what spark.checkpoint.dir names (a folder of our own where it is unset, as in local tests)."""
+    """A new folder's path under what spark.checkpoint.dir names (a folder of our own where it is unset and the master is local, as in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="discera-"))
         folder = _own[0]

@@ -146,15 +146,16 @@ def posts_mixed(lines: DataFrame) -> DataFrame:
     return normalize_posts(normal.unionByName(tweet(paged, author["username"], author["name"])).unionByName(tweet(alone, F.coalesce(get("$.username"), get("$.author_id")), get("$.name"))))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """An analysis table as one CSV file with header; lists and maps as JSON."""
+def write_csv(df: DataFrame, path: str, *, single: bool = False) -> None:
+    """An analysis table as CSV files with headers, one for each task (single: one in all, for tables that a person opens); lists and maps as JSON."""
     nested = {c: F.to_json(c) for c, kind in df.dtypes if kind.startswith(("array", "map", "struct"))}
-    df.withColumns(nested).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out = df.withColumns(nested)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_csv_bom(df: DataFrame, path: str) -> None:
     """A table as CSV that spreadsheet programs read as UTF-8: the first header begins with a byte order mark."""
-    write_csv(df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]), path)
+    write_csv(df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]), path, single=True)
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:

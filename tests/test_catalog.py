@@ -1,4 +1,4 @@
-"""Every query of the library against its SQL in DuckDB; those without SQL must run and have rows."""
+"""Every query of the library against its SQL in DuckDB."""
 
 import datetime
 import decimal
@@ -47,9 +47,6 @@ def test_against_sql(spark, duck, data, name):
     assert _rows(got.columns, got.collect()) == _rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, data, name):
-    df = QUERIES[name](spark, data)
-    again = QUERIES[name](spark, data)
-    assert df.columns == again.columns
-    assert df.count() >= 0
+def test_queries_without_sql_are_known():
+    """Those that SQL does not express are held against plain algorithms in test_without_sql.py."""
+    assert set(QUERIES) - set(SQL) == {"agg_approx_distinct", "er_merge_suggest", "ev_match", "ev_report", "ev_resample", "ev_sample", "ext_all", "fn_seq_ratio", "fn_stable_color", "g_betweenness", "g_cliques", "g_communities", "g_semantic", "g_sim_groups", "parse_html_text", "seg_sentences", "win_greedy_pack"}
