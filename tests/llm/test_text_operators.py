@@ -1,6 +1,7 @@
 """Operators that scan documents where they stand: toxicity, secrets, decontamination, languages; and their edge cases."""
 
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -130,18 +131,145 @@ def test_guess_costs():
     assert cost("password") < 2 and cost("P4ssword") < 4 and cost("qwertyuiop") < 6 and cost("aaaaaaaaaaaa") < 4 and cost("2024-01-31") < 8 and cost("abcdefgh") < 5
     assert cost("9f8A7xQ2mZp0") > 12
     assert cost("dragonmonkey") < cost("dragonxqzvkw")
-    # the cheapest of all segmentations: against trying every cut with brute force and words
-    for value in ("admin12", "xadmin", "aaab", "rootroot"):
-        ranks = secrets._tables()[0]
 
-        def best(rest):
-            options = [secrets._brute(rest[0]) + best(rest[1:])] if rest else [0.0]
-            for j in range(3, len(rest) + 1):
-                if rest[:j] in ranks:
-                    options.append(np.log10(ranks[rest[:j]] + 1) + secrets._JOIN + best(rest[j:]))
-            return min(options)
 
-        assert cost(value) <= best(value) + 1e-9
+def _cheapest(value):
+    """The least cost over all segmentations, with every piece found by its definition."""
+    ranks, _, beside = secrets._tables()
+    low = value.lower()
+
+    def piece(i, j):
+        text, options = value[i:j], []
+        if j - i == 1:
+            options.append(secrets._brute(text))
+        for word, extra in ((low[i:j], 0.0), (low[i:j].translate(secrets.LOOKALIKE), 0.6)):
+            if word in ranks and j - i >= 3:
+                capitals = 0.0 if text.islower() or not text.isalpha() else 0.3 if text[0].isupper() else 1.0
+                options.append(np.log10(ranks[word] + 1) + extra + capitals + secrets._JOIN)
+                break
+        options += [c + secrets._JOIN for p, c in zip(secrets.DATES, secrets.DATE_COST, strict=True) if text[0].isdigit() and (m := p.match(value, i)) and m.end() == j]
+        if 3 <= j - i <= secrets.PIECE:
+            if all(y in beside.get(x, ()) for x, y in zip(low[i:j], low[i + 1 : j], strict=False)):
+                options.append(np.log10(47) + 0.35 * (j - i) + secrets._JOIN)
+            for step in (1, -1):
+                if all(ord(y) - ord(x) == step and y.isalnum() for x, y in zip(text, text[1:], strict=False)):
+                    options.append(np.log10(26) + 0.3 + np.log10(j - i) + secrets._JOIN)
+        for size in (1, 2, 3, 4):
+            if j - i >= 3 and (j - i) % size == 0 and j - i > size and text == text[:size] * ((j - i) // size) and j - i < secrets.PIECE + size:
+                options.append(sum(map(secrets._brute, text[:size])) + np.log10((j - i) / size) + secrets._JOIN)
+        return min(options, default=np.inf)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + piece(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_costs_against_all_segmentations():
+    r = cases.rng(12)
+    parts = ["password", "Dragon", "ROOT", "2024-01-31", "1999", "aaa", "abab", "qwe", "asdf", "xyz", "321", "p4ss", "é", "#", "X", "7", "k", "l0ve", "13/05/2001"]
+    values = ["", "admin12", "xadmin", "aaab", "rootroot", "a" * 60, "abc" * 20, "abcdefghijklmnopqrstuvwxyz"] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 6))) for _ in range(150)]
+    for v in values:
+        assert secrets.guess_cost(v) == pytest.approx(_cheapest(v)), v
+        bound = secrets.guess_cost(v * 30, 20.0)
+        assert bound == pytest.approx(secrets.guess_cost(v * 30)) or 20 <= bound <= secrets.guess_cost(v * 30)
+
+
+def test_secrets_in_long_texts_take_linear_time(spark):
+    start = time.perf_counter()
+    assert secrets.find("pwd" + " " * 1_000_000) == [] and secrets.find("password" + " " * 1_000_000 + "x") == []
+    hexes = secrets.find("token=" + "0123456789abcdef" * 60_000)
+    assert [(s[0], s[2] - s[1]) for s in hexes] == [("assign", 960_006), ("hex", 960_000)]
+    (guess,) = secrets.find("pass: " + "aB3$kL9#" * 120_000)
+    assert guess[:3] == ("guess", 6, 960_006) and guess[4] >= secrets.ENOUGH
+    assert time.perf_counter() - start < 20
+    rows = cases.rows(["token=abcdefgh1"] * 3 + [None], ids=[1, 1, None, None])
+    assert sorted(x.n_assign for x in secrets.digest(cases.frame(spark, rows)).collect()) == [0, 1, 1, 1]
+    assert secrets.digest(cases.frame(spark, rows).where("false")).count() == 0
+
+
+def test_items_longer_than_a_block(spark):
+    b = [f"b{i}" for i in range(400)]
+    items = [(1, " ".join(b)), (2, " ".join(b[390:]) + " tail"), (3, "b7 b8"), (4, " ".join(b[:10]))]
+    texts = [" ".join(b[i : i + 12]) for i in range(0, 390, 7)] + [" ".join(b), "b7 b8 b9", " ".join(b[:9])]
+    docs = cases.frame(spark, cases.rows(texts))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = cases.leaks(list(enumerate(texts)), items)
+    got = decontam.annotate(docs, bench, block_words=50)
+    assert [(x.doc_id, x.dc_words, x.dc_hit, len(x.dc_items)) for x in got.orderBy("doc_id").collect()] == [w[:4] for w in want]
+
+
+def _plain_language(train, text, penalty=langid.PENALTY):
+    """The operator's result for one text, by counting and stepping through words one by one."""
+    mask, size = 0xFFFFFFFF, langid.CLASSES
+
+    def fold(c):
+        return c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0
+
+    def split(t):
+        return [w for w in re.split(rb"[^A-Za-z\x80-\xff]+", (t or "").encode()) if w]
+
+    def classes(w):
+        c = [0, *map(fold, w), 0]
+        out = []
+        for x, y, z in zip(c, c[1:], c[2:], strict=False):
+            g = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) & mask
+            g ^= g >> 15
+            g = g * 0x2C1B3C6D & mask
+            out.append(g >> 17)
+        return out
+
+    script = lambda w: max(langid._SCRIPT[x] for x in w)
+    counts, scripts = {}, {}
+    for lang, t in train:
+        for w in split(t):
+            for g in classes(w):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+            scripts.setdefault(lang, {}).setdefault(script(w), 0)
+            scripts[lang][script(w)] += 1
+    langs = sorted(counts)
+    words = split(text)
+    if not words or not langs:
+        return "und", 0.0
+    total = {x: sum(counts[x].values()) + 0.5 * size for x in langs}
+    writes = lambda x, s: scripts[x].get(s, 0) / sum(scripts[x].values()) >= langid.RARE
+    score = [[sum(np.log((counts[x].get(g, 0) + 0.5) / total[x]) for g in classes(w)) - (langid.NARROW if not writes(x, script(w)) and any(writes(y, script(w)) for y in langs) else 0) for x in langs] for w in words]
+    v, back = score[0], []
+    for s in score[1:]:
+        top = max(range(len(langs)), key=lambda k: (v[k], -k))
+        stay = [v[k] >= v[top] - penalty for k in range(len(langs))]
+        back.append([k if stay[k] else top for k in range(len(langs))])
+        v = [s[k] + (v[k] if stay[k] else v[top] - penalty) for k in range(len(langs))]
+    path = [max(range(len(langs)), key=lambda k: (v[k], -k))]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    mass = [0] * len(langs)
+    for w, k in zip(words, reversed(path), strict=True):
+        mass[k] += len(w)
+    best = max(range(len(langs)), key=lambda k: (mass[k], -k))
+    return langs[best], mass[best] / sum(mass)
+
+
+def test_languages_against_counting_word_by_word(spark, data):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    train = [(x, t) for d, t, x in rows if x is not None and t is not None and not cases.held_out(d)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in q.op6_language_id(spark, data).collect()}
+    for d, t, _ in rows:
+        if t is None or len(t) < 2000:
+            name, share = _plain_language(train, t)
+            if any(map(str.isalpha, t or "")):
+                assert got[d] == (name, pytest.approx(share, abs=0.02)), d
+            else:
+                assert got[d] == ("und", 0.0)
+
+
+def test_many_values_of_lang(spark):
+    rows = cases.rows([f"word{i % 7} some words of text" for i in range(600)] + ["the words of english"] * 50, langs=[f"junk{i}" for i in range(600)] + ["en"] * 50)
+    model = langid.train(cases.frame(spark, rows), languages=20)
+    assert len(model.langs) == 20 and "en" in model.langs
+    same = cases.rows(["uno dos tres", "uno dos tres", None, None], ids=[3, 3, None, None], langs=["es", "es", None, "x"])
+    assert langid.digest(cases.frame(spark, same)).count() == 4
 
 
 def test_language_accuracy(spark):
@@ -211,6 +339,64 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_measures_against_counting(spark, data):
+    """Lexicon, measures and scores of some documents, word by word."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and not cases.held_out(r.doc_id)}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    split = lambda t: [w for w in re.split(rb"[^A-Za-z\x80-\xff]+", t.encode()) if w]
+
+    def hashed(raw):
+        d = np.frombuffer(raw, np.uint8)
+        return int(tk.word_hashes(d, np.array([0]), np.array([len(d)]), toxicity.LETTERS)[0])
+
+    def features(w):
+        return {hashed(w): 0} | {hashed(w[:n]) ^ n: n for n in toxicity.LENGTHS if len(w) > n}
+
+    stands, classes = {}, [0, 0]
+    for d, y in known.items():
+        if d in texts:
+            words = split(texts[d])
+            classes[y] += 1
+            seen = {}
+            for w in words:
+                for h, n in features(w).items():
+                    seen[h, n] = seen.get((h, n), 0) + 1
+            for f, c in seen.items():
+                row = stands.setdefault(f, [0, 0, 0, 0])
+                row[y] += 1
+                row[2 + y] += c >= 2 and c >= 0.008 * len(words)
+    lexicon = {int(h): 1 for h in toxicity._hash_words(toxicity.INSULTS)}
+    for (h, n), row in stands.items():
+        for kind, (c, t), least in ((toxicity.ANY, row[:2], 0.02), (toxicity.DENSE, row[2:], 0.005)):
+            a, b = classes[1], classes[0]
+            p_, q_, pool = t / a, c / b, (t + c) / (a + b)
+            if t >= 3 and p_ >= least and q_ <= 0.03 * p_ + 0.0005 and (p_ - q_) / np.sqrt(pool * (1 - pool) * (1 / a + 1 / b) + 1e-12) >= 4:
+                lexicon[h] = lexicon.get(h, 0) | 1 << (kind + (0 if n == 0 else 1 if n <= 5 else 2))
+    assert model.lexicon == lexicon
+    pronouns = set(toxicity._hash_words(toxicity.PRONOUNS).tolist())
+    score = {r.doc_id: r.tx_score for r in toxicity.score(docs, labels).collect()}
+    for d in sorted(texts)[:60]:
+        words = split(texts[d])
+        hits = [0] * (toxicity.N_PARTS + 1)
+        for w in words:
+            bits = 0
+            for h in features(w):
+                bits |= lexicon.get(h, 0)
+            for k in range(toxicity.N_PARTS):
+                hits[k] += bits >> k & 1
+            hits[-1] += bits != 0
+        n = len(words)
+        up, down = sum("A" <= c <= "Z" for c in texts[d]), sum("a" <= c <= "z" for c in texts[d])
+        marks = sum(c in "!?" for c in texts[d])
+        x = [y for k in hits for y in (k, k / (n + 10))] + [up / (up + down + 20), marks / (n + 20), sum(hashed(w) in pronouns for w in words) / (n + 10), n]
+        own = tk.utf8(pa.array([texts[d]]))
+        assert model.measure(*own)[0] == pytest.approx(x)
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weight, toxicity._inputs(np.array([x]))[0], model.mean, model.scale, strict=True)) + model.bias
+        assert score[d] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
 def test_label_model_finds_accuracies_and_correlation():
     r = np.random.default_rng(0)
     y = r.random(6000) < 0.3
