@@ -387,7 +387,7 @@ def similarity_pairs(df: DataFrame, key: str, weights: dict[str, float], least:
         # what the values met so far can no longer bring, were none of them common to a pair
         rest = sum((F.when(has(j), F.lit(float(w[j]))).otherwise(0.0) for j in order[at:]), F.lit(0.0)) + passed
         off = sorted(common[i])
-        fit = F.filter(named(i), lambda v, off=off, at=at: ~v.isin([f"{at:04d}={x}" for x in off])) if off else named(i)
+        fit = F.array_except(named(i), F.array(*(F.lit(f"{at:04d}={x}") for x in off))) if off else named(i)
         tokens = F.when(rest >= F.lit(least) * total - 1e-9, F.concat(tokens, F.array_sort(fit))).otherwise(tokens)
         if off:
             passed = passed + F.when(F.arrays_overlap(f"c{i}", F.array(*map(F.lit, off))), F.lit(float(w[i]))).otherwise(0.0)

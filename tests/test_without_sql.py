@@ -110,8 +110,9 @@ def test_communities(spark, data, edges):
 
     best = modularity(got)
     assert set(got) == set(degree) and best >= modularity({v: v for v in got}) - 1e-9
-    for v in got:  # no node gains by a move
-        assert all(modularity(got | {v: c}) <= best + 1e-9 for c in set(got.values()))
+    groups = sorted(set(got.values()))
+    for c in groups:  # no community gains by joining another
+        assert all(modularity({v: d if x == c else x for v, x in got.items()}) <= best + 1e-9 for d in groups)
 
 
 def test_similar_groups(spark, data):
@@ -154,7 +155,7 @@ def test_texts(spark, data):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     want = sorted((d, i, x) for d, t in docs.items() for i, x in enumerate(split_sentences(t)))
     assert sorted(map(tuple, _rows(spark, data, "seg_sentences"))) == want
-    assert all(re.sub(r"\s+", "", "".join(split_sentences(t))) == re.sub(r"\s+", "", t) for t in docs.values() if t and ";" not in t and max(map(len, re.split("[.!?]", t))) < 400)
+    assert all(re.findall(r"\w+", " ".join(split_sentences(t))) == re.findall(r"\w+", t or "") for t in docs.values())
     assert Counter(map(tuple, _rows(spark, data, "ext_all"))) == Counter((d, *s) for d, t in docs.items() for s in find_spans(t))
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     got = {r.page_id: r.texto for r in _rows(spark, data, "parse_html_text")}
