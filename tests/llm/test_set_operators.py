@@ -363,7 +363,7 @@ def test_top_k_against_brute_force(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [3.0e38]), (2, [-1.0])], "vec_id long, embedding array<float>")
     assert [(x.rank, x.vec_id, x.score) for x in topk.digest(few).orderBy("rank").collect()] == [(1, 1, (1 << 63) - 1), (2, 2, -65536)]
     assert topk.digest(few.where("false")).count() == 0
-    wide = spark.createDataFrame([(0, [2.0, 0.0, 1e9]), (50, [1e307]), (1, [0.0] * 300_000 + [5.0]), (2, [1.0, -3.0]), (3, [1e306, 1.0]), (4, [4.0, 4.0, 2e9])], "vec_id long, embedding array<double>")
+    wide = spark.createDataFrame([(0, [2.0, 0.0, 1e9]), (50, [1e307]), (1, [0.0] * 300_000 + [5.0]), (2, [1.0, -3.0]), (3, [1e305, 1.0]), (4, [4.0, 4.0, 2e9])], "vec_id long, embedding array<double>")
     got = [(x.query_id, x.rank, x.vec_id, x.score) for x in topk.digest(wide).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 3, (1 << 63) - 1), (0, 2, 4, min((1 << 63) - 1, 512 * 1024 + 256000000000 * 512000000000)), (0, 3, 2, 512 * 256), (0, 4, 1, 0)]
 
