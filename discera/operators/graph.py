@@ -437,6 +437,42 @@ def _expanded(members: DataFrame, links: DataFrame) -> DataFrame:
     return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similitud", "compartidos")
 
 
+def similarity_groups(df: DataFrame, key: str, weights: dict[str, float], least: float = 0.5, max_share: float | None = 0.25, rounds: int = 10) -> DataFrame:
+    """label_communities of similarity_pairs (nodo, comunidad), without making the pairs of rows: the similarities, of four decimals, are added as whole numbers.
+
+    Rows of a class have the same neighbours but for themselves, so votes are counted by class and label, and a row takes
+    its own one off. Of the labels that one class alone holds, only the two that most of its rows have (then the smallest) can win.
+    """
+    members, links = similarity_classes(df, key, weights, least, max_share)
+    if not members.groupBy("k").count().where("count > 1").isEmpty():  # a node in several classes
+        pairs = _expanded(members, links)
+        return label_communities(pairs.select(F.col("a").cast("string").alias("origen"), F.col("b").cast("string").alias("destino"), F.col("similitud").alias("peso")), rounds)
+    weight = F.round(F.col("similitud") * 10000).cast("long").alias("w")
+    other = links.where("a <> b")
+    both = saved(links.select("a", "b", weight).union(other.select("b", "a", weight)))
+    own = both.where("a = b").select(F.col("a").alias("id"), F.col("w").alias("own"))
+    nodes = members.select(F.col("k").cast("string").alias("nodo"), "id").withColumn("c", F.col("nodo"))
+    nodes = saved(split_join(nodes, both.select(F.col("a").alias("id")).distinct(), ["id"]).select("nodo", "id", "c"))
+    for _ in range(rounds):
+        held = saved(nodes.groupBy("id", "c").agg(F.count(F.lit(1)).alias("n")))
+        spread = split_join(held, held.groupBy("c").agg(F.count(F.lit(1)).alias("classes")), ["c"])
+        first = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "c"))
+        alone = spread.where("classes = 1").withColumn("r", first).where("r <= 2")
+        told = alone.select("id", "c", "n").union(spread.where("classes > 1").select("id", "c", "n"))
+        votes = saved(both.join(told, both["b"] == told["id"]).groupBy("a", "c").agg(F.sum(F.col("w") * F.col("n")).alias("w")).select(F.col("a").alias("id"), "c", "w"))
+        best = votes.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("w"), "c"))).where("r <= 2")
+        best = best.groupBy("id").agg(*(F.max(F.when(F.col("r") == r, F.struct((-F.col("w")).alias("w"), "c"))).alias(f"m{r}") for r in (1, 2)))
+        mine = held.select("id", "c").join(votes, ["id", "c"], "left").join(own, "id", "left").join(best, "id")
+        rest = F.col("w") - F.coalesce("own", F.lit(0))
+        stay = F.when(rest > 0, F.struct((-rest).alias("w"), F.col("c").alias("c")))
+        taken = F.least(F.when(F.col("m1.c") != F.col("c"), F.col("m1")).otherwise(F.col("m2")), stay)["c"]
+        moves = saved(mine.select("id", "c", taken.alias("to")))
+        if moves.where("c <> to").isEmpty():
+            break
+        nodes = saved(split_join(nodes, moves, ["id", "c"]).select("nodo", "id", F.col("to").alias("c")))
+    return nodes.select("nodo", F.col("c").alias("comunidad"))
+
+
 def topological(stages: dict[str, list[str]]) -> list[str]:
     """Stages after all they depend on; among ready ones, in the order of declaration."""
     done: list[str] = []

@@ -182,8 +182,7 @@ def g_sim_features(t):
 
 @query()
 def g_sim_groups(t):
-    pairs = gr.similarity_pairs(_features(t), "p_partkey", {"marca": 2.0, "tipo": 1.0, "talla": 1.0}, 0.5)
-    return gr.label_communities(pairs.select(F.col("a").cast("string").alias("origen"), F.col("b").cast("string").alias("destino"), F.col("similitud").alias("peso")))
+    return gr.similarity_groups(_features(t), "p_partkey", {"marca": 2.0, "tipo": 1.0, "talla": 1.0}, 0.5)
 
 
 @query()

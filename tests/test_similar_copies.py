@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from discera.operators import graph as gr
+from tests.test_without_sql import _labels
 
 WEIGHTS = {"marca": 2.0, "tipo": 1.0, "talla": 1.0}
 SCHEMA = "k long, marca array<string>, tipo array<string>, talla array<string>"
@@ -17,7 +18,7 @@ def _parts(classes, copies, seed=3):
 
 
 @pytest.mark.parametrize(("least", "share"), [(0.5, 0.25), (0.5, None), (0.75, 0.25), (0.9, None)])
-def test_pairs_of_copies(spark, monkeypatch, least, share):
+def test_pairs_and_groups_of_copies(spark, monkeypatch, least, share):
     monkeypatch.setattr(gr, "CHUNK", 4)
     rows = _parts(24, (1, 1, 2, 3, 9))
     count = {}
@@ -34,8 +35,17 @@ def test_pairs_of_copies(spark, monkeypatch, least, share):
     df = spark.createDataFrame(rows, SCHEMA)
     got = gr.similarity_pairs(df, "k", WEIGHTS, least - 1e-12, share).collect()
     assert len(got) == len(want) and {(x.a, x.b): x.similitud for x in got} == pytest.approx(want, abs=2e-4)
+    labels = {r.nodo: r.comunidad for r in gr.similarity_groups(df, "k", WEIGHTS, least - 1e-12, share).collect()}
+    assert labels == _labels([(str(x.a), str(x.b), x.similitud) for x in got])
 
 
 def test_links_do_not_grow_with_copies(spark):
     links = [gr.similarity_classes(spark.createDataFrame(_parts(30, copies), SCHEMA), "k", WEIGHTS)[1].where("a <> b").count() for copies in ((2,), (40,))]
     assert links[0] == links[1] > 0
+
+
+def test_groups_of_a_key_in_two_classes(spark):
+    df = spark.createDataFrame([(1, ["a"], ["x"], ["s"]), (1, ["b"], ["y"], ["t"]), (2, ["a"], ["x"], ["u"]), (3, ["b"], ["y"], ["v"])], SCHEMA)
+    pairs = [(str(x.a), str(x.b), x.similitud) for x in gr.similarity_pairs(df, "k", WEIGHTS, 0.5, None).collect()]
+    assert len(pairs) == 2
+    assert {r.nodo: r.comunidad for r in gr.similarity_groups(df, "k", WEIGHTS, 0.5, None).collect()} == _labels(pairs)
