@@ -53,10 +53,15 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+def fold_letters(c: Column) -> Column:
+    """Lower case, accented Latin letters without their accents; accents that are characters of their own stay; null is empty."""
+    return F.lower(F.translate(F.coalesce(c, F.lit("")), ACCENTED, PLAIN))
+
+
 def fold(c: Column) -> Column:
     """Lower case without the accents of Latin letters; null is empty."""
     marks = "".join(map(chr, range(0x300, 0x370)))
-    return F.translate(F.lower(F.translate(F.coalesce(c, F.lit("")), ACCENTED, PLAIN)), marks, "")
+    return F.translate(fold_letters(c), marks, "")
 
 
 def slug(c: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from discera.functions.text import blank_to_null, fold
+from discera.functions.text import blank_to_null, fold, fold_letters
 
 OPS = ("eq", "ne", "in", "contains", "gte", "lte", "between", "is_null", "is_not_null")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -142,9 +142,9 @@ def parse_text_query(text: str) -> list[list[str]]:
     return [v for t in terms if (v := variants(fold_value(t)))]
 
 
-def text_query(column: Column, text: str) -> Column:
-    """Whether folded text holds, for each term, one of its variants."""
-    folded = F.regexp_replace(fold(column), r"\s+", " ")
+def text_query(column: Column, text: str, literal: bool = False) -> Column:
+    """Whether folded text holds, for each term, one of its variants. White space counts as one space, unless literal: then it and accents that are characters of their own stay as they are in the text."""
+    folded = fold_letters(column) if literal else F.regexp_replace(fold(column), r"\s+", " ")
     return reduce(lambda a, b: a & b, (reduce(lambda x, y: x | y, (F.contains(folded, F.lit(v)) for v in term)) for term in parse_text_query(text)), F.lit(True))
 
 
