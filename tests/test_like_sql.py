@@ -13,3 +13,18 @@ def test_text_query_reads_texts_as_they_are(spark, tmp_path):
     con.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     want = sorted(r[0] for r in con.execute(SQL["filter_text_query"]).fetchall())
     assert sorted(r.doc_id for r in QUERIES["filter_text_query"](spark, str(tmp_path)).collect()) == want == [0, 1, 6, 11]
+
+
+def test_merged_lines_of_one_number_keep_the_first(spark, tmp_path):
+    # 20 orders have two lines of the same number and supplier, the second in a file that is larger, so read before
+    (tmp_path / "lineitem.parquet").mkdir()
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    line = "SELECT i AS l_orderkey, 5 + 0 * i AS l_suppkey, 3::INT AS l_linenumber, '{}' AS l_linestatus FROM range({}) r(i)"
+    for name, status, n in (("a", "O", 20), ("b", "F", 50000)):
+        con.execute(f"COPY ({line.format(status, n)}) TO '{tmp_path}/lineitem.parquet/{name}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(SQL["set_merge_entities"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["set_merge_entities"](spark, str(tmp_path)).collect())
+    assert [r[2] for r in want[:21]] == ["O"] * 20 + ["F"]
+    assert got == want
