@@ -3,6 +3,7 @@
 import duckdb
 
 from discera.plans.catalog import QUERIES, SQL
+from tests.test_without_sql import _labels
 
 TEXTS = ["the on of", "THE ón the of", "the on\nof", "the on  of", "the on\tthe of", "the o\u0301n of", "thé on of", "the on\xa0of", "on of", "", None, "x on the of y The"]
 
@@ -28,3 +29,15 @@ def test_merged_lines_of_one_number_keep_the_first(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["set_merge_entities"](spark, str(tmp_path)).collect())
     assert [r[2] for r in want[:21]] == ["O"] * 20 + ["F"]
     assert got == want
+
+
+def test_similar_parts_of_values_that_most_have(spark, tmp_path):
+    # half of the parts share a brand, the other half type and size: all 380 pairs of the two halves are similar
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE part AS SELECT i AS p_partkey, CASE WHEN i % 2 = 0 THEN 'hot' ELSE 'b' || i END AS p_brand,
+        CASE WHEN i % 2 = 1 THEN 'common' ELSE 't' || i END AS p_type, CASE WHEN i % 2 = 1 THEN 0 ELSE i END::INT AS p_size FROM range(1, 41) r(i)""")
+    con.execute(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    want = sorted((a, b, 0.5, "tipo, talla" if a % 2 else "marca") for b in range(1, 41) for a in range(1, b) if a % 2 == b % 2)
+    got = sorted(tuple(r) for r in QUERIES["g_sim_pairs"](spark, str(tmp_path)).collect())
+    assert len(got) == 380 and got == want == sorted(con.execute(SQL["g_sim_pairs"]).fetchall())
+    assert {r.nodo: r.comunidad for r in QUERIES["g_sim_groups"](spark, str(tmp_path)).collect()} == _labels([(str(a), str(b), s) for a, b, s, _ in want])
