@@ -133,7 +133,7 @@ def resolve(events: DataFrame, links: DataFrame, *, one: bool = False) -> DataFr
 
 def merge_entities(links: DataFrame, column: str, source, target, key: list[str], order: list[Column]) -> DataFrame:
     """Repoints source to target; where both are linked to the same key, the target's own link stays."""
-    own = F.col(column) != F.lit(source)
+    own = ~F.col(column).eqNullSafe(F.lit(source))  # links to nothing are their own
     rows = links.withColumn("__own", F.when(own, 0).otherwise(1)).withColumn(column, F.when(own, F.col(column)).otherwise(F.lit(target)))
     w = W.partitionBy(*key, column).orderBy("__own", *order)
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__own", "__r")

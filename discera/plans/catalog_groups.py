@@ -469,4 +469,4 @@ def set_merge_entities(t):
     # lines of one number stand in the order of the files and of their rows there
     place = [F.col(f"_metadata.{c}") for c in ("file_path", "row_index")]
     lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_linestatus", "l_linenumber", *place)
-    return merge_entities(lines, "l_suppkey", 1, 2, ["l_orderkey"], [F.col(c) for c in ("l_linenumber", "file_path", "row_index")]).select("l_orderkey", "l_suppkey", "l_linestatus")
+    return merge_entities(lines, "l_suppkey", 1, 2, ["l_orderkey"], [F.asc_nulls_last("l_linenumber"), "file_path", "row_index"]).select("l_orderkey", "l_suppkey", "l_linestatus")

@@ -31,6 +31,19 @@ def test_merged_lines_of_one_number_keep_the_first(spark, tmp_path):
     assert got == want
 
 
+def test_merged_lines_without_supplier_or_number(spark, tmp_path):
+    # lines without a supplier stay so, and those without a number stand last
+    lines = [(1, None, 1, "a"), (1, 2, 3, "b"), (1, 1, 1, "c"), (2, None, None, "d"), (2, None, 4, "e"), (3, 1, None, "f"), (3, 1, 2, "g"), (3, 2, None, "h"), (4, 7, None, None), (4, 7, 9, "i"), (None, 1, 5, "j"), (None, 2, 6, "k")]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_linestatus VARCHAR)")
+    con.executemany("INSERT INTO lineitem VALUES (?, ?, ?, ?)", lines)
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got = {tuple(r) for r in QUERIES["set_merge_entities"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(SQL["set_merge_entities"]).fetchall())
+    assert got == {(1, None, "a"), (1, 2, "b"), (2, None, "e"), (3, 2, "h"), (4, 7, "i"), (None, 2, "k")}
+
+
 def test_similar_parts_of_values_that_most_have(spark, tmp_path):
     # half of the parts share a brand, the other half type and size: all 380 pairs of the two halves are similar
     con = duckdb.connect()
